@@ -14,6 +14,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join partitions even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A persisted table keeps its hash partitioning, so joins on it do not move it.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "false",
 }
 
 
