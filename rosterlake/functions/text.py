@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -14,8 +14,8 @@ from rosterlake import vocab
 
 #: Whitespace as Unicode sees it, plus the four ASCII separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-#: Anything that is neither a letter, a digit, an underscore nor whitespace.
-PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+#: Whatever is neither a letter, a digit nor an underscore.
+NOT_WORDS = r"[^\p{L}\p{N}_]+"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,87 +89,115 @@ def _accent_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...], str]:
 
 
 def fold_accents(c: Column) -> Column:
-    """Compatibility-decompose and drop combining marks; ASCII passes untouched."""
+    """Compatibility-decompose and drop combining marks; ASCII passes untouched.
+
+    The folding is bound, not inlined: it is a long expression for rare rows, and
+    inlined it would swell the generated code of every row.
+    """
     source, target, several_class, several, marks = _accent_tables()
     groups: dict[str, list[str]] = {}
     for ch, folded in several:
         groups.setdefault(folded, []).append(ch)
-    spread = reduce(
-        lambda acc, item: F.regexp_replace(acc, f"[{''.join(item[1])}]", item[0]),
-        groups.items(),
-        c,
-    )
-    widened = F.when(c.rlike(several_class), spread).otherwise(c)
-    folded = F.regexp_replace(F.translate(widened, source, target), marks, "")
-    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
+
+    def fold(text: Column) -> Column:
+        spread = reduce(
+            lambda acc, item: F.regexp_replace(acc, f"[{''.join(item[1])}]", item[0]),
+            groups.items(),
+            text,
+        )
+        widened = F.when(text.rlike(several_class), spread).otherwise(text)
+        return F.regexp_replace(F.translate(widened, source, target), marks, "")
+
+    return F.when(c.rlike(r"[^\x00-\x7f]"), bind(c, fold)).otherwise(c)
 
 
 # --- keys --------------------------------------------------------------------
 
 _STOP = "|".join(vocab.NOISE_WORDS + vocab.PLACE_WORDS)
 #: A word of four or more characters that is neither noise nor a place.
-_DISTINCTIVE_WORD = rf"(?U)(?:^|\s)(?!(?:{_STOP})(?:\s|$))\S{{4}}"
+_DISTINCTIVE = rf"(?!(?:{_STOP})(?!\S))\S{{4}}"
 #: Two to six single letters in a row, one group each.
 _INITIALS = (
     r"(?U)\b([a-z]) ([a-z])(?: ([a-z]))?(?: ([a-z]))?(?: ([a-z]))?(?: ([a-z]))?\b"
 )
-_NOISE = rf"(?U)(?<!\S)(?:{'|'.join(vocab.NOISE_WORDS)})(?!\S)"
+_NOISE = "|".join(vocab.NOISE_WORDS)
+#: A noise word with the text before it, in a name that holds some other word.
+_NOISE_BESIDE_WORDS = (
+    rf"(?Us)(?:^(?=.*?(?<!\S)(?!(?:{_NOISE})(?!\S))\S)|(?!^)\G)(.*?)(?<!\S)(?:{_NOISE})(?!\S)"
+)
 
 
 def _words(c: Column) -> Column:
     """Lowered head of a name as single-spaced words."""
     head = F.substring_index(F.lower(fold_accents(c)), ",", 1)
-    return fold_space(F.regexp_replace(F.replace(head, F.lit("&"), F.lit(" and ")), PUNCTUATION, " "))
+    return F.trim(F.regexp_replace(F.replace(head, F.lit("&"), F.lit(" and ")), NOT_WORDS, " "))
+
+
+def _where(found: Callable[[Column], Column], change: Callable[[Column], Column]):
+    """A step that changes a text only where a cheap test finds something."""
+    return lambda text: F.when(found(text), change(text)).otherwise(text)
 
 
-def _expand_abbreviations(c: Column) -> Column:
+def _abbreviation_steps():
     by_word: dict[str, list[str]] = {}
     for short, full in vocab.ABBREVIATIONS.items():
         by_word.setdefault(full, []).append(short)
-    return reduce(
-        lambda acc, item: F.regexp_replace(
-            acc, rf"(?<!\S)(?:{'|'.join(item[1])})(?!\S)", item[0]
-        ),
-        by_word.items(),
-        c,
-    )
+    for full, shorts in by_word.items():
+        pattern = rf"(?<!\S)(?:{'|'.join(shorts)})(?!\S)"
+        yield _where(
+            lambda t, shorts=shorts: reduce(or_, [t.contains(s) for s in shorts]),
+            lambda t, pattern=pattern, full=full: F.regexp_replace(t, pattern, full),
+        )
 
 
-def _drop_suffix(phrase: str) -> Callable[[Column], Column]:
-    """Remove a suffix phrase unless nothing distinctive would be left."""
-    pattern = rf"(?U)\b{re.escape(phrase).replace(chr(92) + ' ', ' ')}\b"
+def _suffix_pattern(phrase: str) -> str:
+    """Matches a suffix phrase with the text before it, from the start of a name on.
 
-    def step(text: Column) -> Column:
-        shorter = bind(
-            F.regexp_replace(text, pattern, " "),
-            lambda cut: F.when(cut.rlike(_DISTINCTIVE_WORD), cut).otherwise(text),
+    It matches only if a distinctive word stands outside every occurrence of the
+    phrase, so removing what it finds never empties a name.
+    """
+    words = phrase.split(" ")
+    inside = "".join(
+        rf"(?!(?<=\b{' '.join(words[:k])} ){' '.join(words[k:])}\b)" for k in range(1, len(words))
+    )
+    outside = rf"(?<!\S)(?!{phrase}\b){inside}{_DISTINCTIVE}"
+    return rf"(?Us)(?:^(?=.*?{outside})|(?!^)\G)(.*?)\b{phrase}\b"
+
+
+def _suffix_steps():
+    for phrase in vocab.NAME_SUFFIXES:
+        pattern = _suffix_pattern(phrase)
+        yield _where(
+            lambda t, phrase=phrase: t.contains(phrase),
+            lambda t, pattern=pattern: F.regexp_replace(t, pattern, "$1 "),
         )
-        return F.when(text.contains(phrase), shorter).otherwise(text)
 
-    return step
 
+def _drop_noise(text: Column) -> Column:
+    return fold_space(F.regexp_replace(text, _NOISE_BESIDE_WORDS, "$1"))
 
-def normalize_name(c: Column) -> Column:
-    """Reduce an organisation name to its match key; '' if nothing is left."""
-    text = F.regexp_replace(
-        _expand_abbreviations(_words(F.coalesce(c, F.lit("")))), _INITIALS, "$1$2$3$4$5$6"
-    )
-    for phrase in vocab.NAME_SUFFIXES:
-        text = bind(text, _drop_suffix(phrase))
 
-    def finish(kept: Column) -> Column:
-        quiet = fold_space(F.regexp_replace(kept, _NOISE, " "))
-        trimmed = F.trim(F.regexp_replace(quiet, r"^and\s+|\s+and$", ""))
-        joined = F.trim(F.regexp_replace(trimmed, r"\s+and\s+", " "))
-        return F.coalesce(blank_to_null(joined), fold_space(kept))
+def _drop_connectives(text: Column) -> Column:
+    inner = F.trim(F.regexp_replace(text, r"^and\s+|\s+and$", ""))
+    return F.trim(F.regexp_replace(inner, r"\s+and\s+", " "))
+
 
-    return bind(text, finish)
+def normalize_name(c: Column) -> Column:
+    """Reduce an organisation name to its match key; '' if nothing is left."""
+    steps = [
+        *_abbreviation_steps(),
+        lambda t: F.regexp_replace(t, _INITIALS, "$1$2$3$4$5$6"),
+        *_suffix_steps(),
+        _drop_noise,
+        _where(lambda t: t.contains("and"), _drop_connectives),
+    ]
+    return reduce(bind, steps, _words(F.coalesce(c, F.lit(""))))
 
 
 def normalize_district(c: Column) -> Column:
     """District part of the match key; missing becomes ''."""
     lowered = F.lower(fold_accents(F.coalesce(c, F.lit(""))))
-    return fold_space(F.regexp_replace(lowered, PUNCTUATION, " "))
+    return F.trim(F.regexp_replace(lowered, NOT_WORDS, " "))
 
 
 def acronym(c: Column, skip=vocab.ACRONYM_SKIP) -> Column:

@@ -30,25 +30,37 @@ def incomplete_orgs(roster: DataFrame, *, state: str | None = None, limit: int |
 def candidate_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """The first candidate URLs of each target that exist, with their contacts.
 
-    Contacts are taken from page text before the join, so only lists of
-    addresses and numbers, and the text the ownership check needs, travel.
+    Only pages some target asks for pass the first join; copies of a page fold
+    into one before pages and targets meet.
     """
-    sites = targets.select(F.trim("website").alias("site")).distinct()
-    urls = guessed_urls(sites, vocab.FILL_PATHS, vocab.FILL_PAGES)
+    keyed = targets.withColumn("site", F.trim("website")).select(*schema.KEY, "college_name", "site")
+    urls = guessed_urls(keyed.select("site").distinct(), vocab.FILL_PATHS, vocab.FILL_PAGES)
+    wanted = urls.select("site", "pos", trim_slash(F.col("url")).alias("url_key"))
     blank = F.lit(None).cast("string")
     markdown = F.col("markdown") if "markdown" in pages.columns else blank
     payload = F.col("payload") if "payload" in pages.columns else blank
-    text = page_text(markdown, F.col("html"))
-    read = pages.where(present(text)).select(
-        trim_slash(F.col("url")).alias("url_key"),
-        text.alias("text"),
-        F.array_distinct(F.concat(payload_emails(payload), emails_in_text(text))).alias("emails"),
-        F.array_distinct(F.concat(payload_phones(payload), phones_in_text(text))).alias("phones"),
+    bodies = (
+        pages.select(
+            trim_slash(F.col("url")).alias("url_key"),
+            page_text(markdown, F.col("html")).alias("text"),
+            payload.alias("payload"),
+        )
+        .where(present(F.col("text")))
+        .join(wanted.select("url_key").distinct(), "url_key", "left_semi")
+        .groupBy("url_key")
+        .agg(F.max(F.struct("text", "payload")).alias("body"))
     )
-    wanted = urls.select("site", "pos", trim_slash(F.col("url")).alias("url_key"))
-    return wanted.join(read, "url_key").join(
-        targets.withColumn("site", F.trim("website")).select(*schema.KEY, "college_name", "site"), "site"
+    read = bodies.select(
+        "url_key",
+        F.col("body.text").alias("text"),
+        F.array_distinct(F.concat(
+            payload_emails(F.col("body.payload")), emails_in_text(F.col("body.text"))
+        )).alias("emails"),
+        F.array_distinct(F.concat(
+            payload_phones(F.col("body.payload")), phones_in_text(F.col("body.text"))
+        )).alias("phones"),
     )
+    return wanted.join(read, "url_key").join(keyed, "site")
 
 
 def page_verdicts(found: DataFrame) -> DataFrame:

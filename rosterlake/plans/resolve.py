@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlake import schema
 from rosterlake.functions.text import blank_to_null, present
+from rosterlake.functions.urls import domain_of, trim_slash
 from rosterlake.operators import contacts as C
 from rosterlake.operators.crawl import choose_pages
 from rosterlake.operators.sites import (
@@ -40,10 +41,18 @@ def choose_sites(orgs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def facts_of_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Page facts restricted to hosts of the sites, written once and read often."""
+    """Page facts on hosts of the sites, one row per URL, written once and read often."""
     facts = page_facts(pages)
-    wanted = pages_of_sites(facts.select("url_key", "host"), sites).select("url_key").distinct()
-    return cut_lineage(facts.join(wanted, "url_key", "left_semi"))
+    hosts = pages.select(
+        trim_slash(F.col("url")).alias("url_key"), domain_of(F.col("url")).alias("host")
+    )
+    wanted = pages_of_sites(hosts, sites).select("url_key").distinct()
+    columns = [c for c in facts.columns if c != "url_key"]
+    return cut_lineage(
+        facts.join(wanted, "url_key", "left_semi")
+        .groupBy("url_key").agg(F.max(F.struct(*columns)).alias("f"))
+        .select("url_key", "f.*")
+    )
 
 
 def site_contacts(sites: DataFrame, facts: DataFrame, site_urls: DataFrame | None) -> DataFrame:
