@@ -7,18 +7,22 @@ set all but k hold the same elements in both. A signature is the hash of a part'
 elements; empty parts give none. The signatures of a set are put into one order for
 all sets (parts with more elements first, then by hash) and only the first
 e = a/4 + a/20 + 1 are kept: non-common ones being at most k <= a/4, the first
-a/20 + 1 common ones stand among the first e of both.
+e - k common ones stand among the first e of both. So many must a pair share.
 
 Frequent signatures (shared passages) would bring unlike documents together, so
 groups of more than ``COLD`` sets are left aside. A set is *covered* while at most
 b/25 of its signatures are left aside: then each partner shares a small group with
-it. Only pairs of two uncovered sets, mostly members of large groups of near
-copies, are looked for in the large groups; there each group is compared with a
-few of its members at a time, and members already connected are not compared.
+it. Pairs of two uncovered sets are looked for once more with a finer split of the
+domain, nearly an element a part, where every set sends all its signatures and has
+to have three quarters of them in common with a partner. What stays uncovered there
+is mostly made of frequent elements: members of large groups of near copies. Those
+are compared, group by group, with a few members at a time, and members that are
+already connected are not compared.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 from collections import OrderedDict
@@ -27,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rosterlake.llm.common import Scratch, arrow_map, keyed
 from rosterlake.llm.graph import components
@@ -88,28 +92,40 @@ def quota(size: int) -> int:
     return min(size, size // 4 + size // 20 + 1)
 
 
+def _split(hashes: np.ndarray, b: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, elements) of the non-empty parts of one band."""
+    mixed = _mixed(hashes + np.uint64((b + 1) * int(_M1) % 2**64))
+    part = mixed % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sums = np.add.reduceat(_mixed(mixed[order] ^ _M2), heads)
+    sig = (_mixed(sums ^ (part[heads] * _M1)) & ~np.uint64(_BANDS - 1)) | np.uint64(b % _SINGLE)
+    return sig, np.diff(np.append(heads, len(hashes)))
+
+
 def signatures(hashes: np.ndarray) -> tuple[np.ndarray, bool]:
-    """All signatures of a set, and whether one band has fewer than the quota.
+    """The signatures that a set sends, and whether one band has fewer than the quota."""
+    out, short, most = [], False, quota(len(hashes))
+    for b in bands_of(len(hashes)):
+        sig, elements = _split(hashes, b, n_parts(b))
+        short |= len(sig) < most
+        out.append(sig[np.lexsort((sig, -elements))[:most]])
+    return np.concatenate(out).view(np.int64), short
+
 
-    Such a set also sends its first size/5 + 1 elements (by hash) one by one; two
+def fine_signatures(hashes: np.ndarray) -> np.ndarray:
+    """All signatures of the finer split.
+
+    A set that even there has no more than size/4 in a band, which hashes hardly
+    bring about, also sends its first size/5 + 1 elements (by hash) one by one; two
     such sets at 0.8 share one of these.
     """
-    size, out, short = len(hashes), [], False
-    for b in bands_of(size):
-        mixed = _mixed(hashes + np.uint64((b + 1) * int(_M1) % 2**64))
-        part = mixed % np.uint64(n_parts(b))
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        counts = np.diff(np.append(heads, size))
-        sums = np.add.reduceat(_mixed(mixed[order] ^ _M2), heads)
-        sig = _mixed(sums ^ (part[heads] * _M1))
-        first = np.lexsort((sig, -counts))[: quota(size)]
-        short |= len(first) < quota(size)
-        out.append((sig[first] & ~np.uint64(_BANDS - 1)) | np.uint64(b % _SINGLE))
-    if short:
-        out.append((_mixed(hashes[: size // 5 + 1] ^ _M3) & ~np.uint64(_BANDS - 1)) | np.uint64(_SINGLE))
-    return np.concatenate(out).view(np.int64), short
+    out = [_split(hashes, b, 8 * n_parts(b))[0] for b in bands_of(len(hashes))]
+    if min(map(len, out)) <= len(hashes) // 4:
+        first = _mixed(hashes[: len(hashes) // 5 + 1] ^ _M3)
+        out.append((first & ~np.uint64(_BANDS - 1)) | np.uint64(_SINGLE))
+    return np.concatenate(out).view(np.int64)
 
 
 def profiles(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -218,6 +234,43 @@ def _alike(batches: Iterable[pa.RecordBatch], percent: int, seed: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], ["a", "b", "alike"])
 
 
+def _aside(shared: DataFrame) -> DataFrame:
+    """key, aside: the most signatures that a set has in large groups, over its bands."""
+    by_band = shared.where("hot").groupBy("key", F.col("sig").bitwiseAND(F.lit(_BANDS - 1)).alias("band"))
+    return by_band.agg(F.count("*").alias("aside")).groupBy("key").agg(F.max("aside").alias("aside"))
+
+
+def _fine_step(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """key, n, q (fewest signatures in a band), sigs of the texts that are of their key."""
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            hashes = shingle_set(text.as_py(), seed)
+            if _key(hashes, seed)[0] == key:
+                sigs = fine_signatures(hashes)
+                own = sigs & (_BANDS - 1)
+                rows.append((key, len(hashes), min(np.bincount(own[own != _SINGLE])[list({*own.tolist()} - {_SINGLE})]), sigs))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "n", "q", "sigs"]
+        )
+
+
+@contextlib.contextmanager
+def _runtime_filter(spark: SparkSession) -> Iterator[None]:
+    """Let Spark build its Bloom filter for a join whatever the sizes; its own size stays bounded."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t"}
+    before = {k: spark.conf.get(prefix + k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(prefix + k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(prefix + k, v)
+
+
 class JaccardJoin:
     """One run of the join: classes of equal sets, links between classes, components.
 
@@ -244,23 +297,29 @@ class JaccardJoin:
                 break
             self.seed += 1  # two different sets with one 64-bit key: hash everything anew
         self.links = self._links()
-        for name in ("shared", "pairs", "dense", "texts"):
+        for name in ("shared", "sets", "pairs", "reps", "texts", "fine-sent", "fine-shared", "fine-sets", "fine-pairs", "dense", "ranked"):
             self.scratch.drop(name)
 
-    def _candidates(self) -> DataFrame:
-        rows = self.sent.where("sigs is not null").select(F.explode("sigs").alias("sig"), "key")
+    def _shared(self, sent: DataFrame, name: str) -> DataFrame:
+        """(sig, key, hot) of the signatures that two sets or more have."""
+        rows = sent.where("sigs is not null").select(F.explode("sigs").alias("sig"), "key")
         grouped = rows.repartition("sig").sortWithinPartitions("sig", "key")
-        return self.scratch.write(grouped.mapInArrow(_shared, "sig bigint, key bigint, hot boolean"), "shared")
-
-    def _sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose set sizes allow the similarity."""
-        size = self.classes.select("key", "n")
-        return (
-            pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
-            .join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-            .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.PERCENT)
-            .drop("na", "nb")
-        )
+        return self.scratch.write(grouped.mapInArrow(_shared, "sig bigint, key bigint, hot boolean"), name)
+
+    def _pairs(self, shared: DataFrame, sets: DataFrame, least: Column, name: str) -> DataFrame:
+        """(a, b, common): pairs of the small groups that can be alike.
+
+        ``sets``: key, n, aside (signatures in large groups) and what ``least``, the
+        signatures a pair has to share at least, is made of, for both ends with
+        the suffixes _a and _b.
+        """
+        cold = shared.where("not hot").select("sig", "key")
+        met = cold.select("sig", F.col("key").alias("a")).join(cold.select("sig", F.col("key").alias("b")), "sig").where("a < b")
+        ends = [sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in sets.columns if c != "key"]) for x in "ab"]
+        found = met.groupBy("a", "b").agg(F.count("*").alias("common")).join(ends[0], "a").join(ends[1], "b")
+        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.PERCENT
+        enough = F.col("common") + F.least("aside_a", "aside_b") >= least
+        return self.scratch.write(found.where(fits & enough).select("a", "b", "common"), name)
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) with ``alike``; the texts of their representatives are joined on."""
@@ -282,82 +341,101 @@ class JaccardJoin:
         return ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
     def _links(self) -> DataFrame:
-        shared = self._candidates()
+        shared = self._shared(self.sent, "shared")
         self.members = self.scratch.write(self.sent.select("doc_id", "n", "key"), "members")
         self.scratch.drop(f"profiles-{self.seed}")
-        cold = shared.where("not hot").select("sig", "key")
-        other = cold.select("sig", F.col("key").alias("b"))
-        pairs = (
-            cold.select("sig", F.col("key").alias("a")).join(other, "sig").where("a < b")
-            .groupBy("a", "b").agg(F.count("*").alias("common"))
-        )
-        pairs = self.scratch.write(self._sized(pairs), "pairs")
-        uncovered = self._uncovered(shared)
-        aside = shared.where(f"hot or (sig & {_BANDS - 1}) = {_SINGLE}").select("sig", "key")
-        dense = self.scratch.write(aside.join(self._uncovered(shared), "key"), "dense")
-        self.texts = self._texts(pairs, dense)
+        sets = self.scratch.write(
+            self.classes.join(_aside(shared), "key", "left").select(
+                "key", "rep", "n", "short", F.coalesce("aside", F.lit(0)).alias("aside")
+            ),
+            "sets",
+        )
+        small, both = F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b")
+        least = F.floor(small / 4) + F.floor(small / 20) + 1 - F.floor(both / 9)
+        least = F.when(F.col("short_a") | F.col("short_b"), F.lit(1)).otherwise(least)
+        pairs = self._pairs(shared, sets.drop("rep"), least, "pairs")
+        uncovered = sets.where("short or aside > floor(n / 25)")
+        self.texts = self._texts(pairs, uncovered, sets)
+        fine, fine_pairs = self._fine(uncovered)
+        pairs = pairs.union(fine_pairs)
         # First each class with the partner it shares most with, then what that leaves apart.
-        both = pairs.select("a", "b", F.col("a").alias("node"), "common").union(pairs.select("a", "b", F.col("b"), "common"))
-        best = both.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p"))
+        ends = pairs.select("a", "b", F.col("a").alias("node"), "common").union(pairs.select("a", "b", F.col("b"), "common"))
+        best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p"))
         first = self._verified(best.select("p.a", "p.b").distinct(), "first")
         links = first.where("alike").select("a", "b")
-        rest = self._across(pairs.select("a", "b"), links).join(first, ["a", "b"], "left_anti")
+        rest = self._across(pairs.select("a", "b").distinct(), links).join(first, ["a", "b"], "left_anti")
         links = links.union(self._verified(rest, "rest").where("alike").select("a", "b"))
-        return self._dense_links(dense, links)
-
-    def _uncovered(self, shared: DataFrame) -> DataFrame:
-        """key: sets with too many signatures in large groups, or with too few signatures."""
-        aside = (
-            shared.where("hot")
-            .groupBy("key", F.col("sig").bitwiseAND(F.lit(_BANDS - 1)).alias("band"))
-            .agg(F.count("*").alias("aside"))
-            .groupBy("key").agg(F.max("aside").alias("aside"))
-        )
-        many = aside.join(self.classes.select("key", "n"), "key").where("aside > floor(n / 25)").select("key")
-        return many.union(self.classes.where("short").select("key")).distinct()
-
-    def _texts(self, pairs: DataFrame, dense: DataFrame) -> DataFrame:
+        return self._dense_links(fine, links)
+
+    def _texts(self, pairs: DataFrame, uncovered: DataFrame, sets: DataFrame) -> DataFrame:
         """key, text of the representatives that any comparison needs.
 
-        A doc_id that stands on several rows brings all its texts; ``_alike`` leaves
-        out those that aren't of the key.
+        A doc_id that stands on several rows brings all its texts; those that
+        aren't of the key are left out where they are used. Spark's runtime filter
+        (a Bloom filter of bounded size) keeps most other texts out of the exchange.
         """
-        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(dense.select("key")).distinct()
-        reps = needed.join(self.classes, "key").select("key", "rep")
+        needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(uncovered.select("key")).distinct()
+        reps = self.scratch.write(needed.join(sets, "key").select("key", "rep", "n"), "reps").where("n > 0")
         found = self.docs.join(reps, self.docs["doc_id"] == reps["rep"]).select("key", F.xxhash64("text").alias("h"), "text")
-        return self.scratch.write(found.groupBy("key", "h").agg(F.first("text").alias("text")), "texts")
+        with _runtime_filter(self.docs.sparkSession):
+            return self.scratch.write(found.groupBy("key", "h").agg(F.first("text").alias("text")), "texts")
+
+    def _fine(self, uncovered: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Shared fine signatures of sets that stay uncovered, and the pairs of small groups."""
+        seed = self.seed
+        texts = uncovered.select("key", "n").join(self.texts, "key")
+        sent = self.scratch.write(
+            texts.mapInArrow(lambda x: _fine_step(x, seed), "key bigint, n bigint, q bigint, sigs array<bigint>"), "fine-sent"
+        )
+        shared = self._shared(sent, "fine-shared")
+        sets = self.scratch.write(
+            sent.groupBy("key").agg(F.max("n").alias("n"), F.max("q").alias("q")).join(_aside(shared), "key", "left")
+            .select("key", "n", "q", F.coalesce("aside", F.lit(0)).alias("aside")),
+            "fine-sets",
+        )
+        least = F.greatest("q_a", "q_b") - F.floor((F.col("n_a") + F.col("n_b")) / 9)
+        pairs = self._pairs(shared, sets, least, "fine-pairs")
+        left = sets.where("q - aside <= floor(n / 4)").select("key")
+        aside = shared.where(f"hot or (sig & {_BANDS - 1}) = {_SINGLE}").select("sig", "key")
+        return self.scratch.write(aside.join(left, "key"), "dense"), pairs
 
     def _dense_links(self, dense: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among uncovered sets, from the large groups.
+        """Links among sets that stayed uncovered, from the large groups.
 
-        In round r every group that still spans several components compares its
-        next 4^r members (in order of key) with its other members of other
-        components. A group ends when it is connected or its members are used up.
+        First every set is compared with the first member (by key) of a group that it
+        shares most of its groups with. Then, in rounds, every group that still spans
+        several components compares its next members, 1, 4, 16 and so on, with its
+        other members of other components. A group ends when it is connected or its
+        members are used up.
         """
         if dense.isEmpty():
             return links
-        taken, width, done = None, 1, 0
         ranked = self.scratch.write(rank_rows(dense, "place", ["key"], ["sig"]), "ranked")
+        heads = ranked.where("place = 1").select("sig", F.col("key").alias("p"))
+        votes = ranked.where("place > 1").join(heads, "sig").groupBy("key", "p").agg(F.count("*").alias("c"))
+        best = votes.groupBy("key").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
+        taken = self._verified(best.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct(), "star")
+        links = links.union(taken.where("alike").select("a", "b"))
+        taken, done, width = taken.select("a", "b"), 0, 1
         while True:
-            root = components(links)
-            state = ranked.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            open_groups = state.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("place").alias("size")).where(
-                (F.col("lo") != F.col("hi")) & (F.col("size") > done + 1)
-            ).select("sig")
-            state = self.scratch.write(state.join(open_groups, "sig"), f"state-{done}")
+            root = components(links).withColumnRenamed("node", "key")
+            state = ranked.where(F.col("place") > done).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            spans = state.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+            state = self.scratch.write(state.join(spans, "sig"), f"state-{done}")
             if state.isEmpty():
-                self.scratch.drop("ranked")
-                self.scratch.drop(f"state-{done}")
                 return links
-            pivots = state.where((F.col("place") > done) & (F.col("place") <= done + width)).select(
-                "sig", F.col("key").alias("p"), F.col("root").alias("pr")
-            )
-            met = state.where(F.col("place") > done).join(pivots, "sig").where("key != p and root != pr")
+            pivots = state.where(F.col("place") <= done + width).select("sig", F.col("key").alias("p"), F.col("root").alias("pr"))
+            met = state.join(pivots, "sig").where("root != pr")
             pairs = met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-            if taken is not None:
-                pairs = pairs.join(taken, ["a", "b"], "left_anti")
-            got = self._verified(self._sized(pairs), f"dense-{done}")
-            taken = got.select("a", "b") if taken is None else taken.union(got.select("a", "b"))
+            sizes = self.classes.select("key", "n")
+            fits = (
+                pairs.join(taken, ["a", "b"], "left_anti")
+                .join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
+                .join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+                .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.PERCENT)
+            )
+            got = self._verified(fits.select("a", "b"), f"dense-{done}")
+            taken = taken.union(got.select("a", "b"))
             links = links.union(got.where("alike").select("a", "b"))
             self.scratch.drop(f"state-{done}")
             done, width = done + width, width * 4
