@@ -12,12 +12,15 @@ e - k common ones stand among the first e of both. So many must a pair share.
 Frequent signatures (shared passages) would bring unlike documents together, so
 groups of more than ``COLD`` sets are left aside. A set is *covered* while at most
 b/25 of its signatures are left aside: then each partner shares a small group with
-it. Pairs of two uncovered sets are looked for once more with a finer split of the
-domain, nearly an element a part, where every set sends all its signatures and has
-to have three quarters of them in common with a partner. What stays uncovered there
-is mostly made of frequent elements: members of large groups of near copies. Those
-are compared, group by group, with a few members at a time, and members that are
-already connected are not compared.
+it. Pairs of two uncovered sets are looked for once more with the finest split, an
+element a part, of which every set sends all. An alike pair then either shares a
+small group, or differs in all elements of either set that aren't in large groups,
+and so in (rare_a + rare_b + difference of the numbers of others) at least. The
+frequent elements of the few sets that this leaves, members of large groups of near
+copies, are put in order of frequency; a pair shares one of the first
+(frequent - 0.8 size + 1) of each. Those groups are compared with a few members at a
+time, the ones with fewest rare elements first, and members that are already
+connected are not compared.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rosterlake.llm.common import Scratch, arrow_map, keyed
 from rosterlake.llm.graph import components
@@ -40,8 +43,8 @@ from rosterlake.operators.ranges import rank_rows
 SHINGLE = 5
 #: Largest signature group whose pairs are all written out; groups beyond it are compared stepwise.
 COLD = 24
-#: Bits of a signature that hold its band; the last value marks single elements.
-_BANDS, _SINGLE = 32, 31
+#: Values of the bits of a signature that hold its band.
+_BANDS = 32
 #: Sets below this size have one part per element.
 _SMALL = 32
 #: Exact copies remembered within one task, to send their signatures once.
@@ -92,15 +95,15 @@ def quota(size: int) -> int:
     return min(size, size // 4 + size // 20 + 1)
 
 
-def _split(hashes: np.ndarray, b: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _split(hashes: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, elements) of the non-empty parts of one band."""
     mixed = _mixed(hashes + np.uint64((b + 1) * int(_M1) % 2**64))
-    part = mixed % np.uint64(parts)
+    part = mixed % np.uint64(n_parts(b))
     order = np.argsort(part, kind="stable")
     part = part[order]
     heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     sums = np.add.reduceat(_mixed(mixed[order] ^ _M2), heads)
-    sig = (_mixed(sums ^ (part[heads] * _M1)) & ~np.uint64(_BANDS - 1)) | np.uint64(b % _SINGLE)
+    sig = (_mixed(sums ^ (part[heads] * _M1)) & ~np.uint64(_BANDS - 1)) | np.uint64(b)
     return sig, np.diff(np.append(heads, len(hashes)))
 
 
@@ -108,26 +111,12 @@ def signatures(hashes: np.ndarray) -> tuple[np.ndarray, bool]:
     """The signatures that a set sends, and whether one band has fewer than the quota."""
     out, short, most = [], False, quota(len(hashes))
     for b in bands_of(len(hashes)):
-        sig, elements = _split(hashes, b, n_parts(b))
+        sig, elements = _split(hashes, b)
         short |= len(sig) < most
         out.append(sig[np.lexsort((sig, -elements))[:most]])
     return np.concatenate(out).view(np.int64), short
 
 
-def fine_signatures(hashes: np.ndarray) -> np.ndarray:
-    """All signatures of the finer split.
-
-    A set that even there has no more than size/4 in a band, which hashes hardly
-    bring about, also sends its first size/5 + 1 elements (by hash) one by one; two
-    such sets at 0.8 share one of these.
-    """
-    out = [_split(hashes, b, 8 * n_parts(b))[0] for b in bands_of(len(hashes))]
-    if min(map(len, out)) <= len(hashes) // 4:
-        first = _mixed(hashes[: len(hashes) // 5 + 1] ^ _M3)
-        out.append((first & ~np.uint64(_BANDS - 1)) | np.uint64(_SINGLE))
-    return np.concatenate(out).view(np.int64)
-
-
 def profiles(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, n, key, check, short, sigs of each row; key: 64 bits of the set's digest, null for no set."""
 
@@ -234,25 +223,24 @@ def _alike(batches: Iterable[pa.RecordBatch], percent: int, seed: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], ["a", "b", "alike"])
 
 
-def _aside(shared: DataFrame) -> DataFrame:
-    """key, aside: the most signatures that a set has in large groups, over its bands."""
-    by_band = shared.where("hot").groupBy("key", F.col("sig").bitwiseAND(F.lit(_BANDS - 1)).alias("band"))
-    return by_band.agg(F.count("*").alias("aside")).groupBy("key").agg(F.max("aside").alias("aside"))
+def _aside(shared: DataFrame, kind: Column) -> DataFrame:
+    """key, aside: signatures that a set has in large groups, the most of any kind."""
+    counted = shared.where("hot").groupBy("key", kind.alias("kind")).agg(F.count("*").alias("aside"))
+    return counted.groupBy("key").agg(F.max("aside").alias("aside"))
 
 
-def _fine_step(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """key, n, q (fewest signatures in a band), sigs of the texts that are of their key."""
+def _element_step(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """key, n, sigs: all elements of the texts that are of their key."""
     for batch in batches:
-        rows = []
+        keys, sets = [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
             hashes = shingle_set(text.as_py(), seed)
             if _key(hashes, seed)[0] == key:
-                sigs = fine_signatures(hashes)
-                own = sigs & (_BANDS - 1)
-                rows.append((key, len(hashes), min(np.bincount(own[own != _SINGLE])[list({*own.tolist()} - {_SINGLE})]), sigs))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                keys.append(key)
+                sets.append(hashes.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "n", "q", "sigs"]
+            [pa.array(keys, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+            ["key", "n", "sigs"],
         )
 
 
@@ -297,7 +285,7 @@ class JaccardJoin:
                 break
             self.seed += 1  # two different sets with one 64-bit key: hash everything anew
         self.links = self._links()
-        for name in ("shared", "sets", "pairs", "reps", "texts", "fine-sent", "fine-shared", "fine-sets", "fine-pairs", "dense", "ranked"):
+        for name in ("shared", "sets", "pairs", "reps", "texts", "elements", "fine-shared", "fine-sets", "fine-pairs", "dense", "ranked"):
             self.scratch.drop(name)
 
     def _shared(self, sent: DataFrame, name: str) -> DataFrame:
@@ -345,7 +333,7 @@ class JaccardJoin:
         self.members = self.scratch.write(self.sent.select("doc_id", "n", "key"), "members")
         self.scratch.drop(f"profiles-{self.seed}")
         sets = self.scratch.write(
-            self.classes.join(_aside(shared), "key", "left").select(
+            self.classes.join(_aside(shared, F.col("sig").bitwiseAND(F.lit(_BANDS - 1))), "key", "left").select(
                 "key", "rep", "n", "short", F.coalesce("aside", F.lit(0)).alias("aside")
             ),
             "sets",
@@ -381,64 +369,74 @@ class JaccardJoin:
             return self.scratch.write(found.groupBy("key", "h").agg(F.first("text").alias("text")), "texts")
 
     def _fine(self, uncovered: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Shared fine signatures of sets that stay uncovered, and the pairs of small groups."""
+        """Large element groups of the sets that stay uncovered, and the pairs of small groups."""
         seed = self.seed
-        texts = uncovered.select("key", "n").join(self.texts, "key")
+        texts = uncovered.select("key").join(self.texts, "key")
         sent = self.scratch.write(
-            texts.mapInArrow(lambda x: _fine_step(x, seed), "key bigint, n bigint, q bigint, sigs array<bigint>"), "fine-sent"
+            texts.mapInArrow(lambda x: _element_step(x, seed), "key bigint, n bigint, sigs array<bigint>"), "elements"
         )
         shared = self._shared(sent, "fine-shared")
         sets = self.scratch.write(
-            sent.groupBy("key").agg(F.max("n").alias("n"), F.max("q").alias("q")).join(_aside(shared), "key", "left")
-            .select("key", "n", "q", F.coalesce("aside", F.lit(0)).alias("aside")),
+            sent.groupBy("key").agg(F.max("n").alias("n")).join(_aside(shared, F.lit(0)), "key", "left")
+            .select("key", "n", F.coalesce("aside", F.lit(0)).alias("aside")),
             "fine-sets",
         )
-        least = F.greatest("q_a", "q_b") - F.floor((F.col("n_a") + F.col("n_b")) / 9)
-        pairs = self._pairs(shared, sets, least, "fine-pairs")
-        left = sets.where("q - aside <= floor(n / 4)").select("key")
-        aside = shared.where(f"hot or (sig & {_BANDS - 1}) = {_SINGLE}").select("sig", "key")
-        return self.scratch.write(aside.join(left, "key"), "dense"), pairs
+        # Common elements of an alike pair: 4/9 of both sizes at least.
+        pairs = self._pairs(shared, sets, F.ceil((F.col("n_a") + F.col("n_b")) * 4 / 9), "fine-pairs")
+        left = sets.where("aside * 5 >= n * 4")
+        frequent = shared.where("hot").join(left, "key")
+        often = frequent.groupBy("sig").agg(F.count("*").alias("often"))
+        first = Window.partitionBy("key").orderBy("often", "sig")
+        prefix = (
+            frequent.join(often, "sig")
+            .withColumn("turn", F.row_number().over(first))
+            .where("turn <= aside - ceil(n * 4 / 5) + 1")
+            .select("sig", "key", "n", "aside")
+        )
+        return self.scratch.write(prefix, "dense"), pairs
 
     def _dense_links(self, dense: DataFrame, links: DataFrame) -> DataFrame:
         """Links among sets that stayed uncovered, from the large groups.
 
-        First every set is compared with the first member (by key) of a group that it
-        shares most of its groups with. Then, in rounds, every group that still spans
-        several components compares its next members, 1, 4, 16 and so on, with its
-        other members of other components. A group ends when it is connected or its
+        First every set is compared with the first member of a group that it shares
+        most of its groups with. Then, in rounds, every group that still spans
+        several components compares its next members, 16, 128 and so on, with its
+        later members of other components. A group ends when it is connected or its
         members are used up.
         """
         if dense.isEmpty():
             return links
-        ranked = self.scratch.write(rank_rows(dense, "place", ["key"], ["sig"]), "ranked")
-        heads = ranked.where("place = 1").select("sig", F.col("key").alias("p"))
-        votes = ranked.where("place > 1").join(heads, "sig").groupBy("key", "p").agg(F.count("*").alias("c"))
-        best = votes.groupBy("key").agg(F.max_by("p", F.struct("c", "p")).alias("p"))
-        taken = self._verified(best.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct(), "star")
-        links = links.union(taken.where("alike").select("a", "b"))
-        taken, done, width = taken.select("a", "b"), 0, 1
+        lean = dense.withColumn("rare", F.col("n") - F.col("aside")).withColumn("excess", F.col("rare") * 9 - F.col("n"))
+        ranked = self.scratch.write(rank_rows(lean, "place", ["excess", "key"], ["sig"]), "ranked")
+        end = lambda df, x: df.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "sig"])
+        differ = F.col("rare_a") + F.col("rare_b") + F.abs(F.col("aside_a") - F.col("aside_b"))
+        possible = (differ * 9 <= F.col("n_a") + F.col("n_b")) & (
+            F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.PERCENT
+        )
+        pair = [F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")]
+        votes = end(ranked.where("place > 1"), "a").join(end(ranked.where("place = 1"), "b"), "sig").where(possible)
+        best = votes.groupBy("key_a", "key_b").agg(F.count("*").alias("c")).groupBy("key_a").agg(
+            F.max_by("key_b", F.struct("c", "key_b")).alias("key_b")
+        )
+        star = self._verified(best.select(*pair).distinct(), "star")
+        links = links.union(star.where("alike").select("a", "b"))
+        taken, done, width, root = star.select("a", "b"), 0, 16, None
         while True:
-            root = components(links).withColumnRenamed("node", "key")
+            if root is None:
+                root = components(links).withColumnRenamed("node", "key")
             state = ranked.where(F.col("place") > done).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
             spans = state.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
             state = self.scratch.write(state.join(spans, "sig"), f"state-{done}")
             if state.isEmpty():
                 return links
-            pivots = state.where(F.col("place") <= done + width).select("sig", F.col("key").alias("p"), F.col("root").alias("pr"))
-            met = state.join(pivots, "sig").where("root != pr")
-            pairs = met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-            sizes = self.classes.select("key", "n")
-            fits = (
-                pairs.join(taken, ["a", "b"], "left_anti")
-                .join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
-                .join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-                .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.PERCENT)
-            )
-            got = self._verified(fits.select("a", "b"), f"dense-{done}")
+            met = end(state, "a").join(end(state.where(F.col("place") <= done + width), "b"), "sig")
+            pairs = met.where((F.col("root_a") != F.col("root_b")) & (F.col("place_a") > F.col("place_b")) & possible)
+            got = self._verified(pairs.select(*pair).distinct().join(taken, ["a", "b"], "left_anti"), f"dense-{done}")
             taken = taken.union(got.select("a", "b"))
-            links = links.union(got.where("alike").select("a", "b"))
+            if not got.where("alike").isEmpty():
+                links, root = links.union(got.where("alike").select("a", "b")), None
             self.scratch.drop(f"state-{done}")
-            done, width = done + width, width * 4
+            done, width = done + width, width * 8
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterlake.llm import jaccard, packing, quality, rules, tokens
+from rosterlake.llm import chat, hnsw, htmltext, jaccard, licenses, packing, pieces, quality, rules, tokens
 from rosterlake.llm.common import table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,30 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"rules.{n}") for n in names])
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_places(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_classifier, op3_best_fit_packing, op4_jaccard_join, op5_quality_rules)
-}
+    for f in (
+        op1_token_counts, op2_quality_classifier, op3_best_fit_packing, op4_jaccard_join, op5_quality_rules,
+        op6_sentencepiece_sampling, op7_license_scan, op8_chat_formatting, op9_html_extraction, op10_embedding_near_dedup,
+    )
+}

@@ -98,10 +98,11 @@ def _line_fails(line: Column) -> Column:
     )
 
 
-def judge_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def judge_lines(docs: DataFrame, text_col: str = "text", verdict: str = "rules") -> DataFrame:
     """Add the counts, both verdicts and the cleaned text to every row of ``docs``.
 
-    New columns, all under a struct named ``rules`` so that none clashes: n_words,
+    New columns, all in a struct named ``verdict`` that takes the place of a column
+    of that name: n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed,
     kept, cleaned. A null text is empty: no words, so it fails the base rules.
     Lines are parts between \\n; a line without a word is neither judged nor lost.
@@ -148,14 +149,14 @@ def judge_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base_failed = (got("n_words") < 10) | (got("n_repeat_words") * 100 > got("n_words") * 20)
     lost = got("all_chars") - got("good_chars")
     return counted.select(
-        *[counted[f"`{c}`"] for c in docs.columns],
+        *[counted[f"`{c}`"] for c in docs.columns if c != verdict],
         F.struct(
             *[got(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
             lost.alias("lost_chars"),
             base_failed.alias("base_failed"),
             (~base_failed & (lost * 100 <= got("all_chars") * LOST_PERCENT)).alias("kept"),
             got("cleaned").alias("cleaned"),
-        ).alias("rules"),
+        ).alias(verdict),
     )
 
 
@@ -173,8 +174,8 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``n_chars``, where there is one, counts the cleaned text.
     """
-    judged = judge_lines(docs, text_col).where("rules.kept")
-    new = {text_col: F.col("rules.cleaned")}
+    judged = judge_lines(docs, text_col, "_rules_verdict").where("_rules_verdict.kept")
+    new = {text_col: F.col("_rules_verdict.cleaned")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("rules.cleaned").cast(docs.schema["n_chars"].dataType)
-    return judged.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.length("_rules_verdict.cleaned").cast(docs.schema["n_chars"].dataType)
+    return judged.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
