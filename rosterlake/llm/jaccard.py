@@ -17,8 +17,8 @@ element a part, of which every set sends all. An alike pair then either shares a
 small group, or differs in all elements of either set that aren't in large groups,
 and so in (rare_a + rare_b + difference of the numbers of others) at least. The
 frequent elements of the few sets that this leaves, members of large groups of near
-copies, are put in order of frequency; a pair shares one of the first
-(frequent - 0.8 size + 1) of each. Those groups are compared with a few members at a
+copies, are put in order of frequency; the first that a pair shares is one of the
+first (frequent - common + 1) of each, and common is 4/9 of both sizes at least. Those groups are compared with a few members at a
 time, the ones with fewest rare elements first, and members that are already
 connected are not compared.
 """
@@ -391,7 +391,7 @@ class JaccardJoin:
             frequent.join(often, "sig")
             .withColumn("turn", F.row_number().over(first))
             .where("turn <= aside - ceil(n * 4 / 5) + 1")
-            .select("sig", "key", "n", "aside")
+            .select("sig", "key", "n", "aside", "turn")
         )
         return self.scratch.write(prefix, "dense"), pairs
 
@@ -410,8 +410,13 @@ class JaccardJoin:
         ranked = self.scratch.write(rank_rows(lean, "place", ["excess", "key"], ["sig"]), "ranked")
         end = lambda df, x: df.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "sig"])
         differ = F.col("rare_a") + F.col("rare_b") + F.abs(F.col("aside_a") - F.col("aside_b"))
-        possible = (differ * 9 <= F.col("n_a") + F.col("n_b")) & (
-            F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.PERCENT
+        # The first common element of a pair with so many stands early in both orders.
+        common = F.ceil((F.col("n_a") + F.col("n_b")) * 4 / 9)
+        possible = (
+            (differ * 9 <= F.col("n_a") + F.col("n_b"))
+            & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.PERCENT)
+            & (F.col("turn_a") <= F.col("aside_a") - common + 1)
+            & (F.col("turn_b") <= F.col("aside_b") - common + 1)
         )
         pair = [F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")]
         votes = end(ranked.where("place > 1"), "a").join(end(ranked.where("place = 1"), "b"), "sig").where(possible)
