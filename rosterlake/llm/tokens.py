@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import os
@@ -91,18 +92,18 @@ def _seam_step(path: str, chunk: int, overlap: int):
         for row in batch.to_pylist():
             made = tok.encode(row["part"], add_special_tokens=False)
             words, spans, base = made.word_ids, made.offsets, row["start"]
-            zones: dict[str, tuple[list[int], list[int]]] = {"head": ([], []), "tail": ([], [])}
             settled = len(row["part"]) - guard
-            for t in range(len(words)):
-                at = spans[t][0]
-                if t and words[t] == words[t - 1] or t and spans[t - 1][1] != at:
-                    continue
-                if row["chunk"] and at < overlap:
-                    zones["head"][0].append(base + at)
-                    zones["head"][1].append(t)
-                if not row["last"] and chunk <= at <= settled:
-                    zones["tail"][0].append(base + at)
-                    zones["tail"][1].append(t)
+            # Only tokens of the two overlaps are looked at; places never go back.
+            head = bisect.bisect_left(spans, (overlap,)) if row["chunk"] else 0
+            tail = len(spans) if row["last"] else bisect.bisect_left(spans, (chunk,))
+            until = bisect.bisect_left(spans, (settled + 1,))
+            zones: dict[str, tuple[list[int], list[int]]] = {}
+            for zone, some in (("head", range(head)), ("tail", range(tail, until))):
+                starts = [
+                    t for t in some
+                    if not t or words[t] != words[t - 1] and spans[t - 1][1] == spans[t][0]
+                ]
+                zones[zone] = ([base + spans[t][0] for t in starts], starts)
             yield {
                 "key": [row["key"]], "chunk": pa.array([row["chunk"]], pa.int64()), "n": pa.array([len(words)], pa.int64()),
                 **{f"{z}_{c}": pa.array([v], pa.list_(pa.int64())) for z, got in zones.items() for c, v in zip(("at", "before"), got, strict=True)},
