@@ -140,7 +140,7 @@ def token_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 1024,
-    chunk_chars: int = 16384,
+    chunk_chars: int = 65536,
     overlap_chars: int = 512,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
