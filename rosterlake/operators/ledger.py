@@ -13,15 +13,16 @@ from rosterlake.operators.ranges import running_sums
 def spend_by_endpoint(calls: DataFrame, order: str = "seq") -> DataFrame:
     """Calls, credits and latest balance per endpoint and in total.
 
-    ``calls`` has endpoint, credits_charged, balance and an order column. The
-    total is the row without an endpoint.
+    ``calls`` has endpoint, credits_charged, balance and an order column. ``is_total``
+    tells the total from calls without an endpoint; credits are summed in decimals.
     """
     return (
         calls.groupingSets([[F.col("endpoint")], []], "endpoint")
         .agg(
             F.count(F.lit(1)).alias("calls"),
-            F.sum(F.coalesce("credits_charged", F.lit(0.0))).alias("credits"),
+            F.sum(F.coalesce("credits_charged", F.lit(0.0)).cast("decimal(18,6)")).alias("credits"),
             F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col(order))).alias("balance"),
+            (F.grouping("endpoint") == 1).alias("is_total"),
         )
     )
 
@@ -72,5 +73,5 @@ def current_runs(events: DataFrame) -> DataFrame:
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
-    """The latest runs, a hundred at most."""
-    return runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(min(limit, 100))
+    """The latest runs."""
+    return runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(limit)

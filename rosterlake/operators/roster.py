@@ -72,7 +72,7 @@ def page_of(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
 
 def admin_view(
     roster: DataFrame, *, sort: str | None = None, direction: str = "asc",
-    limit: int | None = 500, offset: int = 0, **filters,
+    limit: int | None = None, offset: int = 0, **filters,
 ) -> DataFrame:
     """The full record."""
     rows = roster.where(roster_filter(**filters)).orderBy(*roster_order(sort, direction))
@@ -115,7 +115,7 @@ def marketing_rows(roster: DataFrame, **filters) -> DataFrame:
 
 def marketing_view(
     roster: DataFrame, *, sort: str | None = None, direction: str = "asc",
-    limit: int | None = 5000, offset: int = 0, **filters,
+    limit: int | None = None, offset: int = 0, **filters,
 ) -> DataFrame:
     """Complete rows, filtered and ordered by any permitted column.
 
