@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from rosterlake.functions.phones import phones_in_roster_cell
 from rosterlake.functions.text import clean_cell, normalize_name, repair_name
-from rosterlake.operators.ranges import first_rows
 
 #: Strictest first: the columns two rows must agree on.
 STAGES = (
@@ -14,7 +13,6 @@ STAGES = (
     ("name_state", ("k_name", "k_state")),
     ("name", ("k_name",)),
 )
-CELL_LIMIT = 10_000
 
 
 def match_keys(df: DataFrame) -> DataFrame:
@@ -56,35 +54,17 @@ def phone_indexes(sightings: DataFrame) -> dict[str, DataFrame]:
     return indexes
 
 
-def _lookup(index: DataFrame, keys, stage: str, cell_limit: int) -> DataFrame:
-    """One row per key: first number, how many, and the cell text.
-
-    A key with more than ``cell_limit`` numbers gets no cell text: its numbers
-    stay one per row in the index, where their count has no bound.
-    """
-    totals = index.groupBy(*keys).agg(
-        F.min_by("phone", "at").alias("first_phone"), F.count(F.lit(1)).alias("n_phones")
-    )
-    head = first_rows(index, keys, [F.col("at")], cell_limit)
-    cells = head.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "phone"))).alias("listed")
-    )
-    return totals.join(cells, list(keys)).select(
-        *keys,
-        F.struct(
-            F.lit(stage).alias("stage"),
-            "first_phone",
-            "n_phones",
-            F.when(
-                F.col("n_phones") <= cell_limit, F.array_join(F.col("listed.phone"), ", ")
-            ).alias("cell"),
-        ).alias(f"hit_{stage}"),
-    )
+def _lookup(index: DataFrame, keys, stage: str) -> DataFrame:
+    """One row per key: first number, how many, and all distinct numbers as cell text."""
+    listed = F.array_sort(F.collect_list(F.struct("at", "phone")))
+    return index.groupBy(*keys).agg(
+        F.min_by("phone", "at").alias("first_phone"), F.count(F.lit(1)).alias("n_phones"),
+        F.array_join(F.transform(listed, lambda x: x["phone"]), ", ").alias("cell"),
+    ).select(*keys, F.struct(F.lit(stage).alias("stage"), "first_phone", "n_phones", "cell").alias(f"hit_{stage}"))
 
 
 def staged_match(
     orgs: DataFrame, indexes: dict[str, DataFrame], *, allow_name_only: bool = False,
-    cell_limit: int = CELL_LIMIT,
 ) -> DataFrame:
     """Organisations with the numbers of the strictest stage that matches.
 
@@ -94,7 +74,7 @@ def staged_match(
     stages = STAGES if allow_name_only else STAGES[:-1]
     joined = match_keys(orgs)
     for stage, keys in stages:
-        joined = joined.join(_lookup(indexes[stage], keys, stage, cell_limit), list(keys), "left")
+        joined = joined.join(_lookup(indexes[stage], keys, stage), list(keys), "left")
     hit = F.coalesce(*[F.col(f"hit_{stage}") for stage, _ in stages])
     return joined.withColumn("_hit", hit).select(
         *orgs.columns,

@@ -16,8 +16,6 @@ from rosterlake.operators.crawl import guessed_urls
 from rosterlake.operators.roster import is_complete
 from rosterlake.sources.store import RosterStore
 
-_EXTRAS = 5
-
 
 def incomplete_orgs(roster: DataFrame, *, state: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows with a website that lack an address or a number, in name order."""
@@ -126,9 +124,9 @@ def fill_contacts(targets: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("owned").alias("site_verified"),
         "pages_tried",
         F.get("emails", F.lit(0)).alias("email"),
-        F.slice("emails", 2, _EXTRAS).alias("extra_emails"),
+        F.slice("emails", 2, F.size("emails")).alias("extra_emails"),
         F.get("phones", F.lit(0)).alias("phone"),
-        F.slice("phones", 2, _EXTRAS).alias("extra_phones"),
+        F.slice("phones", 2, F.size("phones")).alias("extra_phones"),
     )
 
 

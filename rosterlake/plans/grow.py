@@ -89,7 +89,7 @@ def run_batch(
         store.upsert(as_records(results), now=now, batch=run_id)
         counters = run_counters(results, ()).first().asDict()
     except Exception as problem:
-        note(1, "failed", str(problem)[:500])
+        note(1, "failed", str(problem))
         raise
     note(1, "completed", counters=counters)
     return results
