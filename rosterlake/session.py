@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +48,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
+    """Have Spark remove the shuffle files of each query that runs inside when it ends.
+
+    For queries whose result goes to shared storage: nothing reads their shuffles
+    again, and jobs of many rounds would pile them up on the executors' disks.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it with a fresh plan.
 
     Reliable checkpoint: the data is in shared storage, so losing an executor
-    afterwards costs nothing but a re-read.
+    afterwards costs nothing but a re-read. ``df`` must be a frame that no action ran on yet.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_end_with_query(df.sparkSession):
+        return df.checkpoint(eager=True)
