@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rosterlake.session import checkpoint_dir
+from rosterlake.session import checkpoint_dir, shuffles_end_with_query
 
 #: White space of the word rule: blank and the controls 9 to 13, nothing of Unicode.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -68,7 +68,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("error").parquet(path)
+        with shuffles_end_with_query(self.spark):
+            df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
