@@ -244,6 +244,12 @@ def _element_step(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[pa.R
         )
 
 
+def _joined(root: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after the alike pairs of ``found``, from those before: a star for each, so few rounds are left."""
+    new = found.where("alike").select("a", "b")
+    return root if new.isEmpty() else components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+
+
 @contextlib.contextmanager
 def _runtime_filter(spark: SparkSession) -> Iterator[None]:
     """Let Spark build its Bloom filter for a join whatever the sizes; its own size stays bounded."""
@@ -262,8 +268,8 @@ def _runtime_filter(spark: SparkSession) -> Iterator[None]:
 class JaccardJoin:
     """One run of the join: classes of equal sets, links between classes, components.
 
-    ``classes``: key, rep (smallest doc_id), n. ``links``: (a, b) keys of classes
-    found alike, enough to connect every component; each was verified on whole sets.
+    ``classes``: key, rep (smallest doc_id), n. ``root``: (node, root), the component
+    of each class that is linked; every link was verified on whole sets.
     """
 
     PERCENT = 80
@@ -284,7 +290,7 @@ class JaccardJoin:
             if self.classes.where("clash").isEmpty():
                 break
             self.seed += 1  # two different sets with one 64-bit key: hash everything anew
-        self.links = self._links()
+        self.root = self._root()
         for name in ("shared", "sets", "pairs", "reps", "texts", "elements", "fine-shared", "fine-sets", "fine-pairs", "dense", "ranked"):
             self.scratch.drop(name)
 
@@ -320,15 +326,14 @@ class JaccardJoin:
             joined.mapInArrow(lambda x: _alike(x, percent, seed), "a bigint, b bigint, alike boolean"), name
         )
 
-    def _across(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """Pairs whose ends the links don't connect yet."""
-        root = components(links)
+    def _across(self, pairs: DataFrame, root: DataFrame) -> DataFrame:
+        """Pairs whose ends aren't connected in ``root`` yet."""
         ends = pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
             root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
         )
         return ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
-    def _links(self) -> DataFrame:
+    def _root(self) -> DataFrame:
         shared = self._shared(self.sent, "shared")
         self.members = self.scratch.write(self.sent.select("doc_id", "n", "key"), "members")
         self.scratch.drop(f"profiles-{self.seed}")
@@ -350,10 +355,9 @@ class JaccardJoin:
         ends = pairs.select("a", "b", F.col("a").alias("node"), "common").union(pairs.select("a", "b", F.col("b"), "common"))
         best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p"))
         first = self._verified(best.select("p.a", "p.b").distinct(), "first")
-        links = first.where("alike").select("a", "b")
-        rest = self._across(pairs.select("a", "b").distinct(), links).join(first, ["a", "b"], "left_anti")
-        links = links.union(self._verified(rest, "rest").where("alike").select("a", "b"))
-        return self._dense_links(fine, links)
+        root = components(first.where("alike"))
+        rest = self._across(pairs.select("a", "b").distinct(), root).join(first, ["a", "b"], "left_anti")
+        return self._dense(fine, _joined(root, self._verified(rest, "rest")))
 
     def _texts(self, pairs: DataFrame, uncovered: DataFrame, sets: DataFrame) -> DataFrame:
         """key, text of the representatives that any comparison needs.
@@ -395,8 +399,8 @@ class JaccardJoin:
         )
         return self.scratch.write(prefix, "dense"), pairs
 
-    def _dense_links(self, dense: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among sets that stayed uncovered, from the large groups.
+    def _dense(self, dense: DataFrame, root: DataFrame) -> DataFrame:
+        """``root`` with the links among sets that stayed uncovered, from the large groups.
 
         First every set is compared with the first member of a group that it shares
         most of its groups with. Then, in rounds, every group that still spans
@@ -405,7 +409,7 @@ class JaccardJoin:
         members are used up.
         """
         if dense.isEmpty():
-            return links
+            return root
         lean = dense.withColumn("rare", F.col("n") - F.col("aside")).withColumn("excess", F.col("rare") * 9 - F.col("n"))
         ranked = self.scratch.write(rank_rows(lean, "place", ["excess", "key"], ["sig"]), "ranked")
         end = lambda df, x: df.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "sig"])
@@ -424,28 +428,26 @@ class JaccardJoin:
             F.max_by("key_b", F.struct("c", "key_b")).alias("key_b")
         )
         star = self._verified(best.select(*pair).distinct(), "star")
-        links = links.union(star.where("alike").select("a", "b"))
-        taken, done, width, root = star.select("a", "b"), 0, 16, None
+        root = _joined(root, star)
+        taken, done, width = star.select("a", "b"), 0, 16
         while True:
-            if root is None:
-                root = components(links).withColumnRenamed("node", "key")
-            state = ranked.where(F.col("place") > done).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            known = root.withColumnRenamed("node", "key")
+            state = ranked.where(F.col("place") > done).join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
             spans = state.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
             state = self.scratch.write(state.join(spans, "sig"), f"state-{done}")
             if state.isEmpty():
-                return links
+                return root
             met = end(state, "a").join(end(state.where(F.col("place") <= done + width), "b"), "sig")
             pairs = met.where((F.col("root_a") != F.col("root_b")) & (F.col("place_a") > F.col("place_b")) & possible)
             got = self._verified(pairs.select(*pair).distinct().join(taken, ["a", "b"], "left_anti"), f"dense-{done}")
             taken = taken.union(got.select("a", "b"))
-            if not got.where("alike").isEmpty():
-                links, root = links.union(got.where("alike").select("a", "b")), None
+            root = _joined(root, got)
             self.scratch.drop(f"state-{done}")
             done, width = done + width, width * 8
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        root = components(self.links).withColumnRenamed("node", "key")
+        root = self.root.withColumnRenamed("node", "key")
         classes = self.classes.select("key", "rep").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
         least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = classes.join(least, "root").select("key", "component_id")
