@@ -119,7 +119,10 @@ def resolve_link(href: Column, base: Column) -> Column:
             .otherwise(link)
         )
 
-    return bind(_tidy(href), resolve)
+    # The scheme of the base without // behind it adds nothing: what follows is relative.
+    beside_scheme = lambda link: (F.lower(F.regexp_extract(link, _SCHEME, 1)) == scheme) & ~link.rlike(_SCHEME + "//")
+    relative = bind(_tidy(href), lambda link: F.when(beside_scheme(link), F.regexp_replace(link, _SCHEME, "")).otherwise(link))
+    return bind(relative, resolve)
 
 
 def resolve_on_site(hrefs: Column, base: Column) -> Column:

@@ -14,7 +14,7 @@ from rosterlake.functions.text import (
 )
 from rosterlake.functions.urls import is_aggregator, is_authoritative
 from rosterlake.operators.places import plausibly_in_state
-from rosterlake.operators.ranges import first_rows
+from rosterlake.operators.ranges import first_rows, rank_rows
 
 #: Trust order of the channels.
 CHANNELS = ("maps", "directory", "aggregator")
@@ -24,20 +24,19 @@ RUN = ("state", "stream")
 def listing_pages(results: DataFrame, channel: str, limit: int | None = None) -> DataFrame:
     """The first distinct usable URLs of a channel's searches, per state and stream.
 
-    ``results`` has state, stream, query_no, rank and url. How many pages a
-    channel reads is part of the channel.
+    ``results`` has state, stream, query_no, rank and url. All pages are read
+    unless a ``limit`` is given.
     """
-    usable, default = {
-        "directory": (is_authoritative, vocab.DIRECTORY_PAGES),
-        "aggregator": (is_aggregator, vocab.AGGREGATOR_PAGES),
-    }[channel]
+    usable = {"directory": is_authoritative, "aggregator": is_aggregator}[channel]
     urls = (
         results.withColumn("url", F.trim("url"))
         .where(present(F.col("url")) & usable(F.col("url")))
         .groupBy(*RUN, "url")
         .agg(F.min(F.struct("query_no", "rank")).alias("first"))
     )
-    return first_rows(urls, RUN, [F.col("first"), F.col("url")], limit or default, "page_no").drop("first")
+    if limit is not None:
+        return first_rows(urls, RUN, [F.col("first"), F.col("url")], limit, "page_no").drop("first")
+    return rank_rows(urls.select(*RUN, "url", "first.*"), "page_no", ["query_no", "rank", "url"], RUN).drop("query_no", "rank")
 
 
 def _seed(df: DataFrame, channel: str, pos) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rosterlake import vocab
 from rosterlake.functions.text import any_of
 
-#: Up to here the place list is put into the expression; beyond, a join is used.
-PLACE_LIMIT = 5_000
+#: Letters of a place that names are looked up by.
 _STEM = 3
 
 
@@ -29,8 +28,8 @@ def place_list(reference: DataFrame) -> DataFrame:
 
 
 def _verdict(lowered: Column, state: Column, own: Column, other: Column, out_of_scope) -> Column:
-    named_own = own | F.contains(lowered, F.lower(state))
-    return F.when(_outside(lowered, out_of_scope), False).when(named_own, True).otherwise(~other)
+    named_own = own | F.coalesce(F.contains(lowered, F.lower(state)), F.lit(False))
+    return F.when(_outside(lowered, out_of_scope), False).when(named_own, True).otherwise(F.when(lowered.isNotNull(), ~other))
 
 
 def _rejects(place: Column, is_state: Column) -> Column:
@@ -40,42 +39,16 @@ def _rejects(place: Column, is_state: Column) -> Column:
 
 def plausibly_in_state(
     names: DataFrame, reference: DataFrame, *, name: str = "college_name", state: str = "state",
-    out: str = "in_state", out_of_scope=vocab.OUT_OF_SCOPE_PLACES, place_limit: int = PLACE_LIMIT,
+    out: str = "in_state", out_of_scope=vocab.OUT_OF_SCOPE_PLACES,
 ) -> DataFrame:
     """Add a flag: FALSE where a name points abroad or to another state.
 
-    ``reference`` is the (state, district) table. Its size is checked: a small
-    one becomes part of the expression, a large one is joined on the first
-    letters of each place.
+    ``reference`` is the (state, district) table, joined on the first letters of
+    each place; every occurrence of a place starts with its stem, so no
+    containment is missed. Names are judged once per distinct (name, state).
+    No place speaks against a row whose state is NULL, and a NULL name gives NULL.
     """
     places = place_list(reference)
-    listed = places.limit(place_limit + 1).collect()
-    lowered = F.lower(F.col(name))
-    if len(listed) <= place_limit:
-        ordered = sorted(listed, key=lambda r: (r["state"], r["place"], r["is_state"]))
-        known = F.array(*[
-            F.struct(
-                F.lit(r["state"]).alias("state"),
-                F.lit(r["place"]).alias("place"),
-                F.lit(r["is_state"] or len(r["place"]) > 6).alias("rejects"),
-            )
-            for r in ordered
-        ]) if ordered else F.array().cast("array<struct<state:string,place:string,rejects:boolean>>")
-        found = names.withColumn("_found", F.filter(known, lambda p: F.contains(lowered, p["place"])))
-        own = F.exists("_found", lambda p: p["state"] == F.col(state))
-        other = F.exists("_found", lambda p: (p["state"] != F.col(state)) & p["rejects"])
-        return found.withColumn(
-            out, _verdict(lowered, F.col(state), own, other, out_of_scope)
-        ).drop("_found")
-    return _by_join(names, places, name, state, out, out_of_scope)
-
-
-def _by_join(names, places, name, state, out, out_of_scope) -> DataFrame:
-    """Same verdict through an equi-join on three-letter stems.
-
-    Names are judged once per distinct (name, state), and every occurrence of a
-    place starts with its stem, so no containment is missed.
-    """
     distinct = names.select(F.col(name).alias("_n"), F.col(state).alias("_s")).distinct()
     stemmed = places.withColumn("_stem", F.substring("place", 1, _STEM))
     # Places shorter than a stem are rare; only where there are some are shorter stems made.

@@ -14,6 +14,7 @@ from rosterlake.functions.text import present
 from rosterlake.functions.urls import domain_of, trim_slash
 from rosterlake.operators.crawl import guessed_urls
 from rosterlake.operators.roster import is_complete
+from rosterlake.session import cut_lineage
 from rosterlake.sources.store import RosterStore
 
 
@@ -32,7 +33,7 @@ def candidate_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
     into one before pages and targets meet.
     """
     keyed = targets.withColumn("site", F.trim("website")).select(*schema.KEY, "college_name", "site")
-    urls = guessed_urls(keyed.select("site").distinct(), vocab.FILL_PATHS, vocab.FILL_PAGES)
+    urls = guessed_urls(keyed.select("site").distinct(), vocab.FILL_PATHS)
     wanted = urls.select("site", "pos", trim_slash(F.col("url")).alias("url_key"))
     blank = F.lit(None).cast("string")
     markdown = F.col("markdown") if "markdown" in pages.columns else blank
@@ -90,7 +91,7 @@ def fill_contacts(targets: DataFrame, pages: DataFrame) -> DataFrame:
     stop = F.when(
         F.col("email_from").isNotNull() & F.col("phone_from").isNotNull(),
         F.greatest("email_from", "phone_from"),
-    ).otherwise(F.lit(vocab.FILL_PAGES))
+    ).otherwise(F.lit(len(vocab.FILL_PATHS)))
     used = by_pos.withColumn("read", F.filter("read", lambda p: p["pos"] <= stop))
     own = used.select(
         *schema.KEY, "owned",
@@ -156,8 +157,8 @@ def as_corrections(fills: DataFrame) -> DataFrame:
 def fill_store(store: RosterStore, pages: DataFrame, *, state: str | None = None,
                limit: int | None = None, dry_run: bool = False) -> DataFrame:
     """Fill the store from fetched pages; returns the fills."""
-    targets = incomplete_orgs(store.read(), state=state, limit=limit)
-    fills = fill_contacts(targets, pages)
+    targets = cut_lineage(incomplete_orgs(store.read(), state=state, limit=limit))
+    fills = cut_lineage(fill_contacts(targets, pages))  # the store's files are replaced below
     if not dry_run:
         store.correct(as_corrections(fills))
     return fills

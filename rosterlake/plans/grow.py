@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlake import schema, vocab
+from rosterlake.functions.text import normalize_district, normalize_name
 from rosterlake.operators.growth import grow_report, grow_until, new_candidates
 from rosterlake.operators.ledger import run_counters
 from rosterlake.operators.roster import coverage, is_complete
-from rosterlake.plans.resolve import ResolveInputs, as_records, resolve
+from rosterlake.plans.resolve import ResolveInputs, as_records, resolve, with_org_id
 from rosterlake.session import cut_lineage
 from rosterlake.sources.store import RosterStore
 
@@ -38,12 +39,12 @@ def grow(
 ) -> Growth:
     """Resolve new candidates in order and store them up to the one that ends the run.
 
-    ``seeds`` has the seed columns, ``pos`` and ``org_id``; the target counts
+    ``seeds`` has the seed columns and ``pos``; the target counts
     rows seen outside, within one state if ``only_state`` is given.
     """
     chosen = [t for t in targets if not only_state or t[0] == only_state]
     start = visible_rows(store, only_state)
-    fresh = cut_lineage(new_candidates(seeds, store.read(), chosen))
+    fresh = cut_lineage(with_org_id(new_candidates(seeds, store.read(), chosen)))
     report = grow_report(seeds.where(F.col("state").isin(*{s for s, _ in chosen})), fresh)
     if dry_run or start >= target:
         return Growth(fresh, report, None, start)
@@ -67,10 +68,13 @@ def run_batch(
     at = F.current_timestamp() if now is None else now
     here = seeds.where((F.col("state") == state) & (F.col("stream") == stream))
     if skip_resolved:
-        done = store.read().where(F.col("status") == "Verified").select("normalized_name").distinct()
-        here = here.withColumnRenamed("name_key", "normalized_name").join(
-            done, "normalized_name", "left_anti"
-        ).withColumnRenamed("normalized_name", "name_key")
+        done = store.read().where(F.col("status") == "Verified").select(*[F.col(c).alias(f"_{c}") for c in schema.KEY])
+        same = (
+            (normalize_name(F.col("college_name")) == F.col("_normalized_name"))
+            & (normalize_district(F.col("district")) == F.col("_district"))
+            & (F.col("stream") == F.col("_stream"))
+        )
+        here = here.join(done, same, "left_anti")
     chosen = here.orderBy("pos").limit(limit) if limit is not None else here
     chosen = cut_lineage(chosen)
     spark = store.spark

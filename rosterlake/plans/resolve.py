@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlake import schema
-from rosterlake.functions.text import blank_to_null, present
+from rosterlake.functions.text import blank_to_null, normalize_district, normalize_name, present
 from rosterlake.functions.urls import domain_of, trim_slash
 from rosterlake.operators import contacts as C
 from rosterlake.operators.crawl import choose_pages
@@ -29,6 +29,22 @@ class ResolveInputs:
     places: DataFrame | None = None
 
 
+#: Columns of a result that a row of organisations may bring too: the found ones count.
+_FOUND = (
+    "website", "site", "site_score", "placement_officer_name", "placement_email", "placement_phone", "backup_emails_found",
+    "backup_phones_found", "fallback_contact_email", "fallback_contact_phone", "confidence_score", "source_urls",
+    "email_verified", "last_scraped", "status", "notes",
+)
+
+
+def with_org_id(orgs: DataFrame) -> DataFrame:
+    """Rows with an ``org_id``: their own, else one made of the store key, so seeds and stored rows agree."""
+    if "org_id" in orgs.columns:
+        return orgs
+    key = (normalize_name(F.col("college_name")), normalize_district(F.col("district")), F.coalesce("stream", F.lit("")))
+    return orgs.withColumn("org_id", F.concat_ws("|", *key))
+
+
 def choose_sites(orgs: DataFrame, results: DataFrame) -> DataFrame:
     """Add ``site`` and ``site_score``; a stored website needs no choice."""
     known = present(F.col("website"))
@@ -74,17 +90,20 @@ def resolve(orgs: DataFrame, inputs: ResolveInputs, now: Column | None = None) -
     """One result per organisation.
 
     ``orgs`` has org_id, college_name, state, stream, district, website and
-    affiliation. Without an acceptable site, or without a page of it, the result
+    affiliation; without org_id it is made of the key, and other columns are carried
+    along unless the result has one of that name. Without an acceptable site, or without a page of it, the result
     is Failed and says why.
     """
-    placed = cut_lineage(choose_sites(orgs, inputs.results))
+    orgs = with_org_id(orgs)
+    carried = [c for c in orgs.columns if c not in _FOUND]
+    placed = cut_lineage(choose_sites(orgs.select(*carried, "website"), inputs.results))
     sites = cut_lineage(site_table(placed))
     facts = facts_of_sites(inputs.pages, sites)
     found = site_contacts(sites, facts, inputs.site_urls)
     joined = placed.join(found, "site", "left")
     none = F.array().cast("array<string>")
     record = joined.select(
-        *[c for c in orgs.columns if c != "website"],
+        *carried,
         F.col("site").alias("website"),
         F.lit(None).cast("string").alias("placement_officer_name"),
         "placement_email", "placement_phone",

@@ -20,13 +20,19 @@ class RosterStore:
     A write touches only the buckets its keys fall into. The merged buckets are
     written to a staging folder first and copied from there, so the store is
     never read and replaced in one step, and a copy that was cut short can be
-    repeated with ``publish``. One writer at a time.
+    repeated with ``publish``. One writer at a time. The number of buckets is
+    kept beside the rows; opening a store with another one is refused, as a key
+    would fall into a second bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        empty = spark.createDataFrame([], _FILE_SCHEMA)
-        empty.write.mode("ignore").partitionBy(*_LAYOUT).parquet(path)
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], _FILE_SCHEMA).write.mode("ignore").partitionBy(*_LAYOUT).parquet(path)
+        layout = f"{path}/_layout"
+        spark.createDataFrame([(buckets or 64,)], "buckets int").coalesce(1).write.mode("ignore").parquet(layout)
+        self.buckets = spark.read.schema("buckets int").parquet(layout).first()["buckets"]
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"{path} has {self.buckets} buckets, not {buckets}")
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         hashed = F.xxhash64("normalized_name", "district")
@@ -54,12 +60,15 @@ class RosterStore:
         name = batch or uuid.uuid4().hex
         (
             self._bucketed(rows)
-            .repartition(*_LAYOUT)
+            # Rows of a bucket meet, and a bucket too large for a task is split.
+            .hint("rebalance", *[F.col(c) for c in _LAYOUT])
             .write.mode("overwrite")
             .partitionBy(*_LAYOUT)
             .parquet(f"{self.path}/_staging/{name}")
         )
         self.publish(name)
+        staged = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staging/{name}")
+        staged.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(staged, True)
 
     def publish(self, batch: str) -> None:
         """Copy staged buckets into the store; repeating it changes nothing."""

@@ -233,7 +233,6 @@ GUESS_PATHS = (
     "/contact", "/contact-us",
 )
 FILL_PATHS = ("", "/contact-us", "/contact", "/placement", "/placements")
-FILL_PAGES = 4
 PAGE_BUDGET = 8
 PAGE_ATTEMPTS = 12
 CRAWL_DEPTH = 2
@@ -272,8 +271,6 @@ AGGREGATOR_HOSTS = (
 )
 NAME_HEADERS = ("college", "institution", "institute", "name of")
 DISTRICT_HEADERS = ("district", "place", "location", "city")
-DIRECTORY_PAGES = 4
-AGGREGATOR_PAGES = 5
 SEED_TTL_DAYS = 30
 
 # Listing-name patterns (all case-insensitive).
