@@ -77,4 +77,6 @@ def phones_in_text(c: Column) -> Column:
     found = F.regexp_extract_all(
         F.coalesce(c, F.lit("")), F.lit("(?U)" + vocab.PHONE_IN_TEXT), F.lit(0)
     )
-    return F.array_distinct(_standard(found))
+    # Every match holds two runs of digits side by side; a search for them settles most texts.
+    some = c.rlike(r"(?U)\d{3}[\s\-]?\d{3}")
+    return F.when(some, F.array_distinct(_standard(found))).otherwise(F.array().cast("array<string>"))

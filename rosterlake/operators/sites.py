@@ -93,11 +93,13 @@ def site_table(websites: DataFrame) -> DataFrame:
 def pages_of_sites(facts: DataFrame, sites: DataFrame) -> DataFrame:
     """(site_host, page) pairs: the page host equals a site host or lies below it.
 
-    An equi-join on the parents of each page host; hosts are distinct on the
-    site side, so a page pairs at most once per label of its own host.
+    Distinct page hosts are matched to sites by their parents; pages then meet
+    their sites by whole host, so no page is sent under its top-level domain. A
+    page pairs at most once per label of its own host.
     """
     hosts = sites.select("site_host").where(F.col("site_host") != "").distinct()
-    spread = facts.withColumn("site_host", F.explode(host_suffixes(F.col("host"))))
-    return spread.join(hosts, "site_host")
+    seen = facts.select("host").distinct()
+    matched = seen.withColumn("site_host", F.explode(host_suffixes(F.col("host")))).join(hosts, "site_host")
+    return facts.join(matched, "host")
 
 
