@@ -138,12 +138,22 @@ def _usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & whole & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _compared(unit: np.ndarray, queries: np.ndarray, threshold: float) -> list[list[int]]:
+    """For each query every node with a cosine of ``threshold`` or more, by products of 256 queries each."""
+    hits = []
+    for lo in range(0, len(queries), 256):
+        hits += [np.flatnonzero(row >= threshold).tolist() for row in queries[lo : lo + 256] @ unit.T]
+    return hits
+
+
 def _search(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one block of queries into one shard.
 
     Audit: every 20th query, 32 at least, is compared with the whole shard. While
     the beam finds less than ``MIN_RECALL`` of those links, it is doubled for the
-    whole block; a beam as wide as the shard is exact.
+    whole block. A beam only walks edges, and a node that all full lists have dropped
+    has none that lead to it; so where the beam would be as wide as the shard, the
+    block is compared with all of it instead.
     """
     none = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
     if not len(left) or not len(right):
@@ -152,13 +162,13 @@ def _search(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: floa
     queries, own = _unit(_matrix(left["vector"])), left["rep"].to_numpy()
     audit = np.unique(np.linspace(0, len(own) - 1, min(len(own), max(32, len(own) // 20))).astype(int))
     truth = [set(np.flatnonzero(world.unit @ queries[i] >= threshold).tolist()) for i in audit]
-    beam = min(FIRST_BEAM, len(ids))
-    while True:
+    beam = FIRST_BEAM
+    while beam < len(ids):
         found = sum(len(t.intersection(world.near(queries[i], threshold, beam))) for i, t in zip(audit, truth, strict=True))
-        if found >= MIN_RECALL * sum(map(len, truth)) or beam >= len(ids):
+        if found >= MIN_RECALL * sum(map(len, truth)):
             break
-        beam = min(2 * beam, len(ids))
-    hits = [world.near(q, threshold, beam) for q in queries]
+        beam *= 2
+    hits = [world.near(q, threshold, beam) for q in queries] if beam < len(ids) else _compared(world.unit, queries, threshold)
     a, b = np.repeat(own, [len(h) for h in hits]), ids[np.array([x for h in hits for x in h], np.int64)]
     return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
@@ -175,7 +185,7 @@ def near_vectors(
     ``shard_vectors``; every shard gets a graph, and every class is looked up in each
     shard of its label, in blocks. Cosines are checked on the way, so no link is
     false; how many are found is audited against brute force and beams widen until
-    99 of 100 are. n_links counts rows, so a class of m rows counts m.
+    99 of 100 are, or the block is compared with its whole shard. n_links counts rows, so a class of m rows counts m.
 
     Rows with a null label, or a vector that is null, empty, zero or holds null or
     non-finite numbers, link with nothing: n_links 0, their own component, kept.

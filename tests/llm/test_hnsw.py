@@ -60,3 +60,10 @@ def test_recall_of_single_graphs():
     found = sum(truth[i, x] for i in range(0, 1500, 5) for x in world.near(unit[i], 0.9, 64))
     assert found >= 0.95 * truth[::5].sum()
     assert all(truth[i, x] for i in range(0, 1500, 50) for x in world.near(unit[i], 0.9, 64))
+
+
+def test_copies_of_unlike_length_all_link(spark):
+    """One direction, so all cosines tie and full neighbour lists drop later nodes."""
+    rows = [(i, [float(i + 1)] * 8, 0) for i in range(400)]
+    table = spark.createDataFrame([(*r, 1, "k", "n") for r in rows], SCHEMA)
+    assert Counter(tuple(r) for r in hnsw.near_vectors(table).collect()) == brute(rows)
