@@ -9,17 +9,15 @@ rows of a run; ``tests/llm`` compares the stages with brute force.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm import jaccard, packing, quality, rules
 from rosterlake.llm.common import Scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention classifier scores 0.5 or more."""
-    good = quality.quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1")
-    good = good.select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"] == good["_good"], "left_semi")
+    """Documents that the attention classifier scores 0.5 or more, row by row."""
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +26,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
+    """The document of smallest id of each group of near copies; every text of an id is one of its own."""
     return jaccard.one_of_each(docs)
 
 

@@ -467,7 +467,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return JaccardJoin(docs, id_col, text_col).documents()
 
 
+def _row_name(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
+    """64 bits that stand for a row's id and text; null is an id like any other, and a null text is empty."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return F.xxhash64(F.lit(seed), docs[id_col].isNull(), docs[id_col].cast("bigint"), text)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that carry their component's smallest id, once each; same columns."""
-    found = jaccard_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs[id_col] == found["_kept"], "left_semi").dropDuplicates([id_col])
+    """One row of ``docs`` for each set of equal or linked texts, whatever their ids; same columns.
+
+    The row of smallest id stays, one without an id only where no row of the set has
+    one. Rows are named by id and text, so an id may stand on several texts and a null
+    id loses no text. Texts without a word are linked with nothing: of them, rows of
+    one id (or none) and one text stay once.
+    """
+    seed = 0
+    while True:
+        both = docs.select(_row_name(docs, id_col, text_col, 2 * seed).alias("a"), _row_name(docs, id_col, text_col, 2 * seed + 1).alias("b"))
+        if both.groupBy("a").agg((F.min("b") != F.max("b")).alias("clash")).where("clash").isEmpty():
+            break
+        seed += 1  # two different rows with one name: name everything anew
+    name = _row_name(docs, id_col, text_col, 2 * seed).alias("_row")
+    found = jaccard_components(docs.select(name, docs[text_col].alias("text")), "_row", "text").select(
+        F.col("doc_id").alias("_row"), "component_id"
+    )
+    ids = docs.select(name, docs[id_col].cast("bigint").alias("id")).distinct()
+    place = F.struct(F.col("id").isNull().alias("lost"), "id", "_row")
+    kept = found.distinct().join(ids, "_row").groupBy("component_id").agg(F.min(place).alias("p")).select("p._row")
+    named = docs.select("*", name).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns])

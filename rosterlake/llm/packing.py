@@ -163,7 +163,8 @@ def pack(pieces: DataFrame, length: int = 2048, shard_pieces: int = SHARD_PIECES
     each, and every shard is packed on its own, so a task holds a few numbers for
     each of its pieces, whatever the input. Within a shard the order is by length
     descending, then document and piece: a rerun packs alike. Ids and texts don't
-    take part; join them on doc_id, piece and start.
+    take part; join them on doc_id, piece and start. Pieces without an id are dealt by
+    their checksum, and stand in for no other id.
     """
     placed = cut_lineage(pieces)
     shards = max(1, -(-placed.count() // shard_pieces))
@@ -174,10 +175,13 @@ def pack(pieces: DataFrame, length: int = 2048, shard_pieces: int = SHARD_PIECES
         frame = frame.sort_values(order, ascending=[False, True, True, True], kind="stable")
         bins, offsets = sum_of_squares(frame["length"].to_numpy(), length)
         shard = int(frame["shard"].iloc[0])
+        frame["doc_id"] = frame["doc_id"].astype("Int64").mask(frame["lost"])
         return frame[names].assign(sequence_id=(shard << 36) + bins, offset=offsets)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
-    dealt = placed.withColumn("shard", doc_hash("doc_id", "piece", "start") % shards)
+    # A null would turn a whole column of ids into floats on its way to pandas.
+    whole = placed.withColumn("lost", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("bigint")))
+    dealt = whole.withColumn("shard", doc_hash(F.when(F.col("lost"), F.col("ids_crc32")).otherwise(F.col("doc_id")), "piece", "start") % shards)
     return dealt.groupBy("shard").applyInPandas(one, schema + ", sequence_id bigint, offset bigint")
 
 

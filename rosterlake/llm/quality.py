@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Att
     return AttentionModel().fit(np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate(bags), y)
 
 
+def _scores(model: AttentionModel | None, texts: list[str]) -> np.ndarray:
+    scores = [np.empty(0)]
+    for _, n, doc, x in document_features(texts):
+        if model is None:
+            here = np.zeros(n)
+            here[np.unique(doc)] = 0.5
+            scores.append(here)
+        else:
+            scores.append(model.scores(doc, x, n))
+    return np.concatenate(scores)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
@@ -240,17 +252,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = train(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        scores: list[np.ndarray] = []
-        for _, n, doc, x in document_features(batch.column("text").to_pylist()):
-            if model is None:
-                here = np.zeros(n)
-                here[np.unique(doc)] = 0.5
-                scores.append(here)
-            else:
-                scores.append(model.scores(doc, x, n))
-        yield {"doc_id": batch.column("doc_id"), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())}
+        yield {"doc_id": batch.column("doc_id"), "score": pa.array(_scores(model, batch.column("text").to_pylist()), pa.float64())}
 
     scored = arrow_map(keyed(docs, id_col, text_col), step, "doc_id bigint, score double")
     return scored.select(
         "doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text scores 0.5 or more, whatever their ids; same columns."""
+    model = train(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
+            yield batch.filter(pa.array(_scores(model, texts) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

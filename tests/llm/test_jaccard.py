@@ -72,6 +72,13 @@ def test_every_alike_pair_shares_enough_signatures():
             assert short_a or short_b or len(set(sa.tolist()) & set(sb.tolist())) >= least
 
 
+def test_one_row_stays_of_each_set_of_texts(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, a), (1, b), (2, b + " u"), (None, a), (None, "only here and without an id"), (None, "only here and without an id"), (3, "only there")]
+    kept = sorted(((r.doc_id or 0, r.text) for r in jaccard.one_of_each(docs(spark, rows)).collect()))
+    assert kept == [(0, "only here and without an id"), (1, a), (1, b), (3, "only there")]
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "z y x w v u"), (2, "z y x w v u"), (4, None), (5, None)]
     kept = jaccard.one_of_each(docs(spark, rows))

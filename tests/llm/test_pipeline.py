@@ -16,3 +16,29 @@ def test_stages_and_run(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = lambda df: sorted(r.text for r in df.select("text").collect())
+    good = corpus_pipeline.keep_quality(spark, docs, SF).cache()
+    rejected = docs.join(good.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    kept, dropped = good.orderBy("doc_id").limit(1), rejected.orderBy("doc_id").limit(1)
+    first = kept.first().doc_id
+    both = docs.unionByName(dropped.selectExpr(*[f"CAST({first} AS BIGINT) AS doc_id" if c == "doc_id" else c for c in docs.columns]))
+    assert dropped.count() == 1
+    assert texts(corpus_pipeline.keep_quality(spark, both, SF).where(f"doc_id = {first}")) == texts(kept)
+    lost = kept.selectExpr(*["CAST(NULL AS BIGINT) AS doc_id" if c == "doc_id" else c for c in docs.columns])
+    assert texts(corpus_pipeline.keep_quality(spark, docs.unionByName(lost), SF).where("doc_id is null")) == texts(kept)
+    for stage in (corpus_pipeline.clean_lines, corpus_pipeline.drop_near_copies):
+        kept, lost = stage(spark, kept, SF), stage(spark, lost, SF)
+        assert texts(lost) == texts(kept) != []
+    packed = corpus_pipeline.pack_sequences(spark, lost, SF)
+    assert packed.count() == corpus_pipeline.pack_sequences(spark, kept, SF).count() > 0
+
+
+def test_packing_beside_null_ids_keeps_long_ids(spark):
+    rows = [(2**60 + 1, "a b c"), (2**60 + 1, "d e"), (None, "f g h"), (None, "f g h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, SF).select("doc_id").collect()]
+    assert sorted(got, key=str) == [2**60 + 1, 2**60 + 1, None, None]
