@@ -14,7 +14,19 @@ from rosterlake.llm.common import arrow_map, ship
 
 # Fixed values of HTML: elements by what they do to layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title meta link iframe object svg math canvas audio video datalist select".split())
+HIDDEN = frozenset("script style noscript template head title meta link iframe object canvas audio video datalist".split())
+#: What svg and math don't show of their content, and what ends them where it isn't inside one of ``_HTML_AGAIN``.
+FOREIGN_HIDDEN = {
+    "svg": frozenset("desc defs symbol metadata clippath mask pattern marker filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p"
+    " pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_HTML_AGAIN = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+#: Parts of a formula that stand apart: what such an element holds.
+_APART = frozenset("mfrac mtable mtr mtd munder mover munderover".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "address article aside body center dd details dialog div dt fieldset figcaption footer form header hr html legend li main"
@@ -134,12 +146,47 @@ class _Renderer(HTMLParser):
         self.tables: list[list[list[list[str]]]] = []
         self.numbers: list[int | None] = []
         self.in_cell: list[bool] = []
+        #: Open selects that show one option: its text (None: hidden); and whether it is being read.
+        self.shown: list[list[str] | None] = []
+        self.picking = False
 
     @property
     def flow(self) -> _Flow:
         return self.flows[-1]
 
+    def _foreign(self) -> str | None:
+        """svg or math, if the open place is of their kind and not HTML inside them."""
+        if not self.count.get("svg") and not self.count.get("math"):
+            return None
+        return next((n if n in FOREIGN_HIDDEN else None for n, _, _ in reversed(self.open) if n in FOREIGN_HIDDEN or n == "foreignobject"), None)
+
+    def _apart(self) -> None:
+        self.flow.space |= bool(self.flow.line)
+
+    def _choice(self, tag: str, given: dict, hidden: bool) -> bool:
+        """Whether a part of a select is out of sight; a list of options shows all, another select the one selected."""
+        label = given.get("label") or ""
+        if tag == "select":
+            size = given.get("size") or ""
+            if "multiple" in given or re.fullmatch(r"\d{1,9}", size) and int(size) > 1:
+                return hidden
+            self.shown.append(None if hidden else [])
+            return True
+        if tag == "option" and self._in_drop_down() and "selected" in given and not hidden and self.shown[-1] is not None:
+            self.shown[-1] = [label]
+            self.picking = not label
+        elif not self.unseen and not hidden and label and self.count.get("select"):
+            self.flow.end_line()
+            self.flow.words(label)
+            return tag == "option"
+        return hidden
+
+    def _in_drop_down(self) -> bool:
+        return next((unseen for n, unseen, _ in reversed(self.open) if n == "select"), False) and bool(self.shown)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _ENDS_FOREIGN and self._foreign():
+            self._close({"svg", "math"}, _HTML_AGAIN, every=True)
         if tag in _ENDS_P and self.count.get("p"):
             self._close({"p"}, {"td", "th", "li", "table", "button"})
         if tag in IMPLIED:
@@ -152,7 +199,15 @@ class _Renderer(HTMLParser):
             or tag == "input" or bool(_UNSEEN_STYLE.search(given.get("style") or ""))
             or tag == "dialog" and "open" not in given
         )
+        foreign = self._foreign()
+        if foreign:
+            unseen |= tag in FOREIGN_HIDDEN[foreign] or (given.get("display") or "").strip() == "none"
+            unseen |= foreign == "svg" and (given.get("visibility") or "").strip() in ("hidden", "collapse")
+        if tag in ("select", "option", "optgroup"):
+            unseen = self._choice(tag, given, unseen)
         seen = not self.unseen and not unseen
+        if seen and foreign and (self.open[-1][0] in _APART or tag == "text" or tag == "tspan" and given.keys() & {"x", "y", "dx", "dy"}):
+            self._apart()
         if tag in VOID:
             if seen and tag == "br":
                 if not self.flow.line and not self.pre:
@@ -223,6 +278,8 @@ class _Renderer(HTMLParser):
                 self.flow.lines += lines
             if tag == "blockquote":
                 self.flow.gap = 1
+        elif tag == "text" and self._foreign() == "svg":
+            self._apart()
         elif tag in BLOCKS:
             self.flow.end_line(tag in PARAGRAPHS)
 
@@ -231,8 +288,16 @@ class _Renderer(HTMLParser):
         self.count[tag] -= 1
         self.unseen -= unseen
         self.pre -= pre
+        if tag == "option":
+            self.picking = False
         if not self.unseen and not unseen:
             self._leave(tag)
+        if tag == "select" and unseen and self.shown:
+            text = "".join(self.shown.pop() or ())
+            if not self.unseen and text.strip():
+                self._apart()
+                self.flow.words(text)
+                self._apart()
 
     def _inside(self, tag: str, border: str) -> bool:
         for name, _, _ in reversed(self.open):
@@ -267,7 +332,9 @@ class _Renderer(HTMLParser):
             self._close({tag}, borders)
 
     def handle_data(self, data: str) -> None:
-        if self.unseen:
+        if self.picking:
+            self.shown[-1].append(data)
+        if self.unseen or self.count.get("svg") and not self.count.get("text") and self._foreign() == "svg":
             return
         if self.tables and not self.in_cell[-1]:
             if not data.strip(" \t\n\r\f"):
@@ -295,11 +362,15 @@ def visible_text(html: str) -> str:
 def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text of every row of ``pages``.
 
-    Hidden are scripts, styles, the head and other unseen elements, the ``hidden``
-    attribute, inline ``display: none`` and ``visibility: hidden``, closed dialogs,
+    Hidden are scripts, styles, the head and other elements that browsers don't display
+    (noscript, template, datalist, and what stands in frames, objects, canvas, audio and
+    video for readers that lack them), the ``hidden`` attribute, inline ``display: none`` and ``visibility: hidden``, closed dialogs,
     and comments. Blocks stand on lines of their own, paragraphs a blank line apart;
     list entries get bullets or numbers and are indented by depth; table cells are
-    padded to their column's width; preformatted text keeps its blanks.
+    padded to their column's width; preformatted text keeps its blanks. Formulas give
+    the text of their signs, without annotations; drawings that of their text elements
+    (not what only a ``use`` draws); lists of options all options, other selects the one
+    marked ``selected`` (none is shown where none is marked).
 
     Null html gives a null text, empty html an empty one; repeated rows repeat; null
     ids stay; other columns aren't looked at. Row-local, no shuffle.

@@ -22,6 +22,23 @@ CASES = [
 ]
 
 
+FOREIGN = [
+    ("E is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>no</annotation></math>.", "E is mc2."),
+    ("<math><semantics><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation-xml><p>no</annotation-xml></semantics></math>", "1 2"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs>no<g><text>May</text><text>10 <tspan>k</tspan></text></g></svg>b", "a May 10 k b"),
+    ("<svg><text display=none>no</text><foreignObject><p>in</p></foreignObject><path d=x/></svg><p>out", "in\n\nout"),
+    ("<svg><path d=x><p>out", "out"),
+    ("Size <select><option>S<option selected>M<option>L</select> left", "Size M left"),
+    ("<select><option selected>no<option selected label=Big>x</select><select hidden><option selected>no</select>", "Big"),
+    ("<select multiple><option>a<option>b</select>", "a\nb"), ("<select size=2><optgroup label=G><option>a</optgroup></select>", "G\na"),
+]
+
+
+@pytest.mark.parametrize("html, text", FOREIGN)
+def test_formulas_drawings_and_options(html, text):
+    assert htmltext.visible_text(html) == text
+
+
 @pytest.mark.parametrize("html, text", CASES)
 def test_layout(html, text):
     assert htmltext.visible_text(html) == text
