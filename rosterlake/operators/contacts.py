@@ -81,7 +81,7 @@ def split_contacts(contacts: DataFrame, keys: Sequence[str] = ("site",)) -> Data
     The best address in the placement band is the placement contact and all
     others are backups; without one, the top of the list is the fallback contact
     and stays among the backups. The list of a group holds the distinct contacts
-    of the pages that were chosen for it, of which there are a dozen at most.
+    of the pages that were chosen for it.
     """
     by_kind = {
         kind: F.transform(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rosterlake import vocab
 from rosterlake.functions.urls import link_priority, resolve_on_site, trim_slash
-from rosterlake.operators.ranges import first_rows
+from rosterlake.operators.ranges import first_rows, rank_rows
 from rosterlake.session import cut_lineage
 
 
@@ -23,13 +23,14 @@ def guessed_urls(sites: DataFrame, paths=vocab.GUESS_PATHS, limit: int | None =
 
 def budget_pages(
     sites: DataFrame, site_urls: DataFrame, index: DataFrame, *,
-    budget: int = vocab.PAGE_BUDGET, attempts: int = vocab.PAGE_ATTEMPTS,
+    budget: int | None = vocab.PAGE_BUDGET, attempts: int | None = vocab.PAGE_ATTEMPTS,
 ) -> DataFrame:
     """Pages of sites that come with a URL listing: (site, page_no, url_key, url).
 
     The site itself comes first unless it is listed, then the listed URLs by
     priority, then guessed contact paths. Of the first ``attempts`` the first
     ``budget`` that exist are read; both numbers are the rule, not a safeguard.
+    None sets no limit.
     """
     listed = site_urls.select("site", "url", F.lit(1).alias("tier"),
                               link_priority(F.col("url")).alias("priority"), "pos")
@@ -45,21 +46,21 @@ def budget_pages(
         .agg(F.min(F.struct(preference.alias("preference"), "pos", "tier", "priority")).alias("c"))
         .select("site", "url", "c.tier", "c.priority", "c.pos")
     )
-    tried = first_rows(
-        candidates, ["site"],
-        [F.col("tier"), F.col("priority").desc(), F.col("pos"), F.col("url")], attempts, "attempt",
-    )
-    existing = tried.withColumn("url_key", trim_slash(F.col("url"))).join(
-        index.select("url_key"), "url_key", "left_semi"
-    )
-    return first_rows(existing, ["site"], [F.col("attempt")], budget, "page_no").select(
-        "site", "page_no", "url_key", "url"
-    )
+    order = ["tier", "down", "pos", "url"]
+    tried = candidates.withColumn("down", -F.col("priority")).withColumn("url_key", trim_slash(F.col("url")))
+    if attempts is not None:
+        tried = first_rows(tried, ["site"], [F.col(c) for c in order], attempts, "attempt")
+    existing = tried.join(index.select("url_key"), "url_key", "left_semi")
+    if budget is None:
+        read = rank_rows(existing.select("site", "url_key", *order), "page_no", order, ["site"])
+    else:
+        read = first_rows(existing, ["site"], [F.col(c) for c in order], budget, "page_no")
+    return read.select("site", F.col("page_no").cast("int").alias("page_no"), "url_key", "url")
 
 
 def best_first_pages(
     sites: DataFrame, index: DataFrame, *, max_pages: int = vocab.CRAWL_PAGES,
-    max_depth: int = vocab.CRAWL_DEPTH,
+    max_depth: int | None = vocab.CRAWL_DEPTH,
 ) -> DataFrame:
     """Pages of sites read by following links: (site, page_no, url_key, url).
 
@@ -88,7 +89,8 @@ def best_first_pages(
 
     def opened(taken: DataFrame, round_no: int) -> DataFrame:
         """Promising existing links on the pages taken this round."""
-        links = taken.where(F.col("place.depth") < max_depth).join(index, "url_key").select(
+        deeper = F.lit(True) if max_depth is None else F.col("place.depth") < max_depth
+        links = taken.where(deeper).join(index, "url_key").select(
             "site",
             (F.col("place.depth") + 1).alias("depth"),
             F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link"),
@@ -130,15 +132,66 @@ def best_first_pages(
     return state.where(F.col("page_no").isNotNull()).select("site", "page_no", "url_key", "url")
 
 
-def choose_pages(sites: DataFrame, index: DataFrame, site_urls: DataFrame | None = None) -> DataFrame:
-    """Pages to read per site: by listing where there is a useful one, else by links."""
+def level_pages(start: DataFrame, index: DataFrame, *, max_depth: int | None = None) -> DataFrame:
+    """All pages that promising links lead to from the pages of ``start``: (site, page_no, url_key, url).
+
+    ``start`` has site, page_no, url_key and url. All sites advance together by a
+    whole level a round, as many rounds as the deepest site has levels. Pages stand
+    by level, then link priority, then order of discovery; no number of pages is set.
+    """
+    index = cut_lineage(index.select("url_key", "hrefs"))
+    level = cut_lineage(
+        start.groupBy("site", "url_key").agg(F.min(F.struct("page_no", "url")).alias("p")).select(
+            "site", "url_key", "p.url", F.lit(0).alias("depth"), F.col("p.page_no").cast("bigint").alias("turn")
+        ).join(index.select("url_key"), "url_key", "left_semi")
+        .select("site", "url_key", "url", "depth", "turn")
+    )
+    known, depth = level, 0
+    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+        depth += 1
+        links = level.join(index, "url_key").select(
+            "site", "turn", F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link")
+        ).withColumn("priority", link_priority(F.col("link"))).where(F.col("priority") > 0)
+        place = F.struct((-F.col("priority")).alias("rank"), "turn", "i", F.col("link").alias("url"))
+        found = links.withColumn("url_key", trim_slash(F.col("link"))).groupBy("site", "url_key").agg(F.min(place).alias("p"))
+        new = found.join(index.select("url_key"), "url_key", "left_semi").join(known, ["site", "url_key"], "left_anti").select(
+            "site", "url_key", "p.url", "p.rank", F.col("p.turn").alias("parent"), "p.i"
+        )
+        ranked = rank_rows(new, "turn", ["rank", "parent", "i", "url_key"], ["site"])
+        level = cut_lineage(ranked.select("site", "url_key", "url", F.lit(depth).alias("depth"), "turn"))
+        known = known.unionByName(level)
+    return rank_rows(known, "page_no", ["depth", "turn"], ["site"]).select(
+        "site", F.col("page_no").cast("int").alias("page_no"), "url_key", "url"
+    )
+
+
+def choose_pages(
+    sites: DataFrame, index: DataFrame, site_urls: DataFrame | None = None, *, budget: int | None = None,
+    attempts: int | None = None, max_pages: int | None = None, max_depth: int | None = None,
+) -> DataFrame:
+    """Pages to read per site: by listing where there is a useful one, else by links.
+
+    Without numbers all are read: the pages of the listing first and whatever
+    promising links lead to from there or from the home page. ``budget`` and
+    ``attempts`` limit sites with a listing, as in ``budget_pages``, to pages of it;
+    ``max_pages`` the others, best first, and ``max_depth`` the links followed.
+    """
+    home = sites.select("site", F.lit(1).alias("page_no"), trim_slash(F.col("site")).alias("url_key"), F.col("site").alias("url"))
+
+    def by_links(rest: DataFrame) -> DataFrame:
+        if max_pages is None:
+            return level_pages(home.join(rest.select("site"), "site", "left_semi"), index, max_depth=max_depth)
+        return best_first_pages(rest, index, max_pages=max_pages, max_depth=max_depth)
+
     if site_urls is None:
-        return best_first_pages(sites, index)
+        return by_links(sites)
     listing = site_urls.groupBy("site", "url").agg(F.min("pos").alias("pos"))
     useful = listing.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("site")
     budgeted = cut_lineage(
         budget_pages(sites.join(useful, "site", "left_semi"),
-                     listing.join(useful, "site", "left_semi"), index)
+                     listing.join(useful, "site", "left_semi"), index, budget=budget, attempts=attempts)
     )
     rest = sites.join(budgeted.select("site").distinct(), "site", "left_anti")
-    return reduce(DataFrame.unionByName, [budgeted, best_first_pages(rest, index)])
+    if budget is None and attempts is None:
+        budgeted = level_pages(budgeted, index, max_depth=max_depth)
+    return reduce(DataFrame.unionByName, [budgeted, by_links(rest)])

@@ -78,7 +78,7 @@ def site_contacts(sites: DataFrame, facts: DataFrame, site_urls: DataFrame | Non
     """
     chosen = cut_lineage(choose_pages(sites, page_index(facts), site_urls))
     sources = chosen.groupBy("site").agg(
-        # A dozen pages at most.
+        # All pages of one site: its row lists them.
         F.transform(F.array_sort(F.collect_list(F.struct("page_no", "url"))), lambda p: p["url"])
         .alias("source_urls")
     )

@@ -71,3 +71,19 @@ def test_all_listing_pages_unless_a_number_is_given(spark):
     assert sorted(every.values()) == list(range(1, 10)) and every["https://www.shiksha.com/0"] == 1
     few = {r.url: r.page_no for r in channels.listing_pages(results, "aggregator", 2).collect()}
     assert few == {u: n for u, n in every.items() if n <= 2} and channels.listing_pages(results, "aggregator", 0).count() == 0
+
+
+def test_all_pages_of_a_site_are_read(spark):
+    base = {w: f"https://www.{w}.ac.in" for w in ("lakeview", "hilltop")}
+    link = lambda n: f"<a href='/contact/{n}'>next</a>"
+    chain = [(base["lakeview"], f"<html><body>{link(1)}</body></html>")]
+    chain += [(f"{base['lakeview']}/contact/{i}", f"<html><body>{link(i + 1)} {'placement@lakeview.ac.in' if i == 4 else 'x'}</body></html>") for i in range(1, 5)]
+    listed = [(f"{base['hilltop']}/p{i:02d}", f"<html><body>{'placement@hilltop.ac.in' if i == 29 else 'x'}</body></html>") for i in range(30)]
+    pages = spark.createDataFrame([*chain, (base["hilltop"], "<html><body>x</body></html>"), *listed], "url string, html string")
+    urls = spark.createDataFrame([(base["hilltop"], u, i) for i, (u, _) in enumerate(listed)], "site string, url string, pos int")
+    inputs = ResolveInputs(results=_inputs(spark).results, pages=pages, site_urls=urls)
+    got = {r.website: r for r in resolve(_seeds(spark), inputs).collect()}
+    for word, count in (("lakeview", 5), ("hilltop", 31)):
+        assert len(got[base[word]].source_urls) == count
+        assert got[base[word]].placement_email == f"placement@{word}.ac.in"
+    assert got[base["lakeview"]].source_urls == [u for u, _ in chain]
