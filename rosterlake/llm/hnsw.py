@@ -150,8 +150,9 @@ def _search(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: floa
     """Links of one block of queries into one shard.
 
     Audit: every 20th query, 32 at least, is compared with the whole shard. While
-    the beam finds less than ``MIN_RECALL`` of those links, it is doubled for the
-    whole block. A beam only walks edges, and a node that all full lists have dropped
+    the beam finds less than ``MIN_RECALL`` of the links of any of them, its own
+    vector apart, it is doubled for the whole block; so neither finds of the own
+    vector nor the many links of a crowd weigh up the few links of others. A beam only walks edges, and a node that all full lists have dropped
     has none that lead to it; so where the beam would be as wide as the shard, the
     block is compared with all of it instead.
     """
@@ -161,11 +162,11 @@ def _search(key: tuple, left: pd.DataFrame, right: pd.DataFrame, threshold: floa
     world, ids = SmallWorld.load(right["world"].iloc[0]), np.asarray(right["reps"].iloc[0])
     queries, own = _unit(_matrix(left["vector"])), left["rep"].to_numpy()
     audit = np.unique(np.linspace(0, len(own) - 1, min(len(own), max(32, len(own) // 20))).astype(int))
-    truth = [set(np.flatnonzero(world.unit @ queries[i] >= threshold).tolist()) for i in audit]
+    truth = [set(np.flatnonzero((world.unit @ queries[i] >= threshold) & (ids != own[i])).tolist()) for i in audit]
+    audit, truth = zip(*[(i, t) for i, t in zip(audit, truth, strict=True) if t], strict=True) if any(truth) else ((), ())
     beam = FIRST_BEAM
     while beam < len(ids):
-        found = sum(len(t.intersection(world.near(queries[i], threshold, beam))) for i, t in zip(audit, truth, strict=True))
-        if found >= MIN_RECALL * sum(map(len, truth)):
+        if all(len(t.intersection(world.near(queries[i], threshold, beam))) >= MIN_RECALL * len(t) for i, t in zip(audit, truth, strict=True)):
             break
         beam *= 2
     hits = [world.near(q, threshold, beam) for q in queries] if beam < len(ids) else _compared(world.unit, queries, threshold)
@@ -185,7 +186,7 @@ def near_vectors(
     ``shard_vectors``; every shard gets a graph, and every class is looked up in each
     shard of its label, in blocks. Cosines are checked on the way, so no link is
     false; how many are found is audited against brute force and beams widen until
-    99 of 100 are, or the block is compared with its whole shard. n_links counts rows, so a class of m rows counts m.
+    99 of 100 are for every audited vector, or the block is compared with its whole shard. n_links counts rows, so a class of m rows counts m.
 
     Rows with a null label, or a vector that is null, empty, zero or holds null or
     non-finite numbers, link with nothing: n_links 0, their own component, kept.

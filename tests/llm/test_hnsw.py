@@ -67,3 +67,22 @@ def test_copies_of_unlike_length_all_link(spark):
     rows = [(i, [float(i + 1)] * 8, 0) for i in range(400)]
     table = spark.createDataFrame([(*r, 1, "k", "n") for r in rows], SCHEMA)
     assert Counter(tuple(r) for r in hnsw.near_vectors(table).collect()) == brute(rows)
+
+
+def test_audit_minds_the_few_links_beside_a_crowd(monkeypatch):
+    """A search that misses every link between pairs, but none in a crowd, has to widen."""
+    rng = np.random.default_rng(4)
+    crowd = rng.normal(size=24) + rng.normal(size=(400, 24)) * 0.02
+    pairs = np.repeat(rng.normal(size=(100, 24)), 2, axis=0) + rng.normal(size=(200, 24)) * 0.02
+    vectors = np.concatenate([crowd, pairs])
+    whole = hnsw.SmallWorld.near
+
+    def short(self, q, least, beam):
+        hits = whole(self, q, least, beam)
+        return hits if len(hits) > 50 or beam > hnsw.FIRST_BEAM else [x for x in hits if self.unit[x] @ q > 1 - 1e-9]
+
+    monkeypatch.setattr(hnsw.SmallWorld, "near", short)
+    left = hnsw.pd.DataFrame({"rep": range(600), "vector": vectors.tolist()})
+    right = hnsw.pd.DataFrame({"reps": [list(range(600))], "world": [hnsw.SmallWorld.build(hnsw._unit(vectors)).dump()]})
+    found = hnsw._search((), left, right, 0.93)
+    assert (found["a"] >= 400).sum() >= 200
