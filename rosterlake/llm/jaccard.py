@@ -1,4 +1,11 @@
-"""Exact Jaccard join of word shingle sets by PartEnum signatures.
+"""Exact Jaccard join of word shingle sets by the parts of PartEnum, without its subsets.
+
+PartEnum enumerates subsets of parts and asks for one signature in common. Here a
+signature is one single part, a set sends a prefix of them, and a pair must share
+several: that number prunes pairs, which one subset in common does not. The number
+of signatures is about the same: 983 documents of sf0.01 (mean 379 shingles) send 156
+each in all their bands; 3 of 4 second-level parts for each of (k + 2) / 2 first-level
+ones would be 171 by count, for one band.
 
 Sets of sizes a <= b with a Jaccard similarity of 0.8 or more differ in at most
 k = (a + b) / 9 elements. For a band of sizes the feature domain (all hashes) is
