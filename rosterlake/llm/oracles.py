@@ -51,4 +51,104 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost
 from counted
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5}
+OP12 = rf"""
+with recursive sized as (
+  select row_number() over () as row_, doc_id, source, md5(coalesce(doc_id::varchar, '-')) as turn,
+    coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::bigint as size
+  from documents
+), sources as (
+  select source, sum(size)::bigint as source_size, [1.0::double, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight,
+    (row_number() over (order by source nulls last) - 1) % 3 as kind
+  from sized group by source
+), rounds as (
+  select 0 as i, sum(source_size)::double as left_, sum(weight)::double as weights from sources
+  union all
+  select r.i + 1, sum(source_size)::double - sum(case when weight * r.left_ / r.weights > source_size * 3.0::double then source_size * 3.0::double else 0 end),
+    sum(case when weight * r.left_ / r.weights > source_size * 3.0::double then 0 else weight end)
+  from rounds r, sources where r.i < 50 group by r.i, r.left_, r.weights
+), targets as (
+  select source, source_size, kind, least(weight * left_ / weights, source_size * 3.0::double) as target
+  from sources, (select left_, weights from rounds order by i desc limit 1)
+), laid as (
+  select s.*, source_size, kind, target, round(target)::bigint as goal,
+    (sum(size) over (partition by s.source order by turn, doc_id nulls first, size, row_ rows unbounded preceding) - size)::bigint as ahead
+  from sized s join targets t on s.source is not distinct from t.source
+), copies as (
+  select *, p * source_size + ahead as start, greatest(0, least(size, goal - p * source_size - ahead)) as words
+  from laid, (select unnest([0, 1, 2]) as p)
+), placed as (
+  select *, start::double / goal as share, [-0.5::double, 0, 0.5][kind + 1] as slope from copies where words > 0
+), timed as (
+  select *, share * 2.0 / ((1 - slope) + sqrt(greatest((1 - slope) * (1 - slope) + share * (4 * slope), 0))) as position from placed
+), ordered as (
+  select row_, words, sum(words) over (order by position, source nulls first, turn, doc_id nulls first, size, p, row_ rows unbounded preceding) - words as first_word
+  from timed
+), taken as (
+  select row_, sum(words)::bigint as taken, count(*) as passes, min(first_word)::bigint as first_word from ordered group by row_
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, coalesce(passes, 0)::bigint as passes, first_word
+from laid left join taken using (row_)
+"""
+
+_FIELD = "case when {0} is null then '-' else strlen({0}::varchar)::varchar || ':' || {0}::varchar end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP13 = f"""
+with recursive plain as (
+  select *, list_reduce(
+      [4294967295::bigint] || list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substring(doc_id::varchar, i, 1))::bigint),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)) as crc
+  from documents
+), changed as (
+  select *, case when xor(crc, 4294967295) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as now
+  from plain
+), leaves as (
+  select row_number() over () as row_, doc_id, source, {_leaf("text")} as leaf, {_leaf("now")} as claimed from changed
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, claimed) - 1 as place from leaves
+), tree as (
+  select 0 as level, source, place, leaf as h, count(*) over (partition by source) as n from placed
+  union all
+  select level + 1, source, place // 16, sha256(string_agg(h, '' order by place)), (any_value(n) + 15) // 16
+  from tree where n > 1 group by level, source, place // 16
+), subroots as (
+  select source, h as subroot, row_number() over (order by source nulls first) - 1 as place from tree where n = 1
+), top as (
+  select 0 as level, place, subroot as h, count(*) over () as n from subroots
+  union all
+  select level + 1, place // 16, sha256(string_agg(h, '' order by place)), (any_value(n) + 15) // 16
+  from top where n > 1 group by level, place // 16
+), runs as (
+  select level, source, place // 16 as run, list(h order by place) as hs from tree where n > 1 group by level, source, place // 16
+), top_runs as (
+  select level, place // 16 as run, list(h order by place) as hs from top where n > 1 group by level, place // 16
+), low as (
+  select 0 as level, row_, source, place, claimed as h, '' as siblings from placed
+  union all
+  select l.level + 1, row_, l.source, place // 16,
+    sha256(array_to_string(hs[:place % 16], '') || l.h || array_to_string(hs[place % 16 + 2:], '')),
+    siblings || array_to_string(hs[:place % 16], '') || array_to_string(hs[place % 16 + 2:], '')
+  from low l join runs r on r.level = l.level and r.source is not distinct from l.source and r.run = l.place // 16
+), at_subroot as (
+  select arg_max(h, level) as h, arg_max(siblings, level) as siblings, row_ from low group by row_
+), high as (
+  select 0 as level, row_, s.place, a.h, a.siblings
+  from at_subroot a join placed p using (row_) join subroots s on s.source is not distinct from p.source
+  union all
+  select l.level + 1, row_, place // 16,
+    sha256(array_to_string(hs[:place % 16], '') || l.h || array_to_string(hs[place % 16 + 2:], '')),
+    siblings || array_to_string(hs[:place % 16], '') || array_to_string(hs[place % 16 + 2:], '')
+  from high l join top_runs r on r.level = l.level and r.run = l.place // 16
+), folded as (
+  select row_, arg_max(h, level) as folded_root, sha256(arg_max(siblings, level)) as proof_sha256 from high group by row_
+)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
+from placed p join folded using (row_) join subroots s on s.source is not distinct from p.source, (select h as root from top where n = 1)
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op12_curriculum_mix": OP12, "op13_merkle_manifest": OP13}

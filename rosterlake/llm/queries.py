@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterlake.llm import chat, hnsw, htmltext, jaccard, licenses, packing, pieces, quality, rules, tokens
+from rosterlake.llm import (
+    chat, curriculum, hnsw, htmltext, jaccard, licenses, manifest, packing, pieces, quality, rules, tokens, whitening,
+)
 from rosterlake.llm.common import table
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -54,10 +56,23 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.taken_words(curriculum.curriculum(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.verified_manifest(docs, manifest.tampered_texts(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_classifier, op3_best_fit_packing, op4_jaccard_join, op5_quality_rules,
-        op6_sentencepiece_sampling, op7_license_scan, op8_chat_formatting, op9_html_extraction, op10_embedding_near_dedup,
+        op6_sentencepiece_sampling, op7_license_scan, op8_chat_formatting, op9_html_extraction, op10_embedding_near_dedup, op11_embedding_whitening, op12_curriculum_mix, op13_merkle_manifest,
     )
 }
