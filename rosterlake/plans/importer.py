@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from rosterlake.functions.phones import phones_in_cell
 from rosterlake.functions.text import clean_cell, classify_stream, present, with_scheme
 from rosterlake.operators.merge import first_filled, with_key
 from rosterlake.sources.store import RosterStore
-from rosterlake.sources.tables import map_headers, mapped_columns, read_contact_file, unmapped_headers
+from rosterlake.sources.tables import ContactFiles, read_contact_files, unmapped_headers
 
 _FIELDS = tuple(field for field, _ in vocab.HEADER_ALIASES)
 
@@ -95,10 +96,14 @@ def dedupe_file(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class ImportPlan:
-    """What an import would write, and what it says about the file."""
+    """What an import would write, and what it says about the files.
 
-    mapping: dict[str, str]
-    unmapped: list[str]
+    ``files``: file, utf8, headers and the fields they feed; ``unmapped``: (file,
+    header) of the headers that feed none; ``pos`` orders the rows of a file.
+    """
+
+    files: DataFrame
+    unmapped: DataFrame
     rows: DataFrame
     records: DataFrame
 
@@ -125,25 +130,22 @@ class ImportPlan:
         )
 
 
-def plan_import(frame: DataFrame, *, default_state: str = "", default_stream: str = "Engineering") -> ImportPlan:
-    rows = import_rows(
-        mapped_columns(frame, _FIELDS), default_state=default_state, default_stream=default_stream
-    )
-    return ImportPlan(
-        map_headers(frame.columns), unmapped_headers(frame.columns), rows, dedupe_file(rows)
-    )
+def plan_import(found: ContactFiles, *, default_state: str = "", default_stream: str = "Engineering") -> ImportPlan:
+    rows = import_rows(found.mapped(_FIELDS), default_state=default_state, default_stream=default_stream)
+    return ImportPlan(found.files, unmapped_headers(found.files), rows, dedupe_file(rows))
 
 
-def import_file(
-    store: RosterStore, path: str, *, default_state: str = "", default_stream: str = "Engineering",
+def import_files(
+    store: RosterStore, path: str | Sequence[str], *, default_state: str = "", default_stream: str = "Engineering",
     dry_run: bool = False, multiline: bool = True,
 ) -> ImportPlan:
-    """Read, map, clean, dedupe and (unless ``dry_run``) upsert a contact file."""
+    """Read, map, clean, dedupe and (unless ``dry_run``) upsert contact files."""
     spark: SparkSession = store.spark
     plan = plan_import(
-        read_contact_file(spark, path, multiline=multiline),
+        read_contact_files(spark, path, multiline=multiline),
         default_state=default_state, default_stream=default_stream,
     )
     if not dry_run:
-        store.upsert(plan.records.select(*schema.RECORD_COLUMNS, "pos"))
+        # One record per key is left, so their order no longer matters.
+        store.upsert(plan.records.select(*schema.RECORD_COLUMNS, F.lit(0).cast("bigint").alias("pos")))
     return plan

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rosterlake.operators.matching import (
     match_report, phone_indexes, phone_sightings, staged_match, unmatched_sample,
 )
-from rosterlake.sources.tables import mapped_columns, read_contact_file, read_roster
+from rosterlake.sources.tables import read_contact_files, read_roster
 
 
 @dataclass
@@ -32,17 +32,19 @@ def merge_phone_files(
     allow_name_only: bool = False,
 ) -> PhoneMerge:
     """The file job: all columns of the organisation file plus ``all_phones_found``."""
-    frame = read_contact_file(spark, orgs_path)
-    keys = mapped_columns(frame, ("college_name", "state", "stream")).withColumnRenamed(
-        "college_name", "name"
-    )
+    found = read_contact_files(spark, orgs_path)
+    keys = found.mapped(("college_name", "state", "stream")).withColumnRenamed("college_name", "name")
     result = merge_phones(
         keys, read_roster(spark, contacts_path, with_phones=True), allow_name_only=allow_name_only
     )
     if out_path is not None:
-        found = result.matched.select("pos", "all_phones_found")
-        (
-            frame.drop("all_phones_found").join(found, "pos").orderBy("pos").drop("pos")
-            .write.mode("overwrite").csv(out_path, header=True, quote='"', escape='"', emptyValue="")
+        phones = result.matched.select("pos", "all_phones_found")
+        names = [h for h in found.headers() if h != "all_phones_found"]
+        # Cells are taken by place; columns get their own names at the very end.
+        places = [i for i, h in enumerate(found.headers()) if h != "all_phones_found"]
+        joined = found.cells.join(phones, "pos").orderBy("pos")
+        columns = [F.get("cells", F.lit(i)).alias(n) for i, n in zip(places, names, strict=True)]
+        joined.select(*columns, "all_phones_found").write.mode("overwrite").csv(
+            out_path, header=True, quote='"', escape='"', emptyValue=""
         )
     return result

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rosterlake import vocab
+from rosterlake.session import cut_lineage
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("query", T.StringType()),
@@ -15,121 +17,148 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
 ])
 
-
-def _csv(spark: SparkSession, paths, encoding: str, multiline: bool) -> DataFrame:
-    return spark.read.csv(
-        paths, header=True, inferSchema=False, multiLine=multiline, encoding=encoding,
-        quote='"', escape='"',
-    )
+_QUOTING = {"quote": '"', "escape": '"'}
+_BYTES = "ISO-8859-1"
 
 
-def read_contact_file(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """A contact CSV, every column text, with ``pos`` for the row order.
+@dataclass(frozen=True)
+class ContactFiles:
+    """Contact CSVs of any headers and encodings, as one table of cells.
 
-    Read as UTF-8; a file that turns out not to be UTF-8 is read as ISO-8859-1.
-    ``multiline`` allows line breaks inside cells at the price of one task per
-    file; turn it off to split large files.
+    ``files`` has one row per file: file, utf8, headers (its header line, cell by
+    cell) and fields, for each header the store field it feeds or null. ``cells`` has
+    one row per record: file, pos and cells, the texts in the order of the file's own
+    headers. Cells have no names, so no header can clash with a column made here. ``pos``
+    is (file, offset of the block, row), the order of rows within their file.
     """
-    broken = (
-        spark.read.text(path)
-        .where(F.col("value").contains("�"))
-        .select(F.input_file_name().alias("file"))
-        .distinct()
-    )
-    # One row per undecodable file, however large the files are.
-    odd = [r["file"] for r in broken.collect()]
-    if not odd:
-        frame = _csv(spark, path, "UTF-8", multiline)
-    else:
-        everything = {r["file"] for r in spark.read.text(path, wholetext=False)
-                      .select(F.input_file_name().alias("file")).distinct().collect()}
-        frame = _csv(spark, odd, "ISO-8859-1", multiline)
-        rest = sorted(everything - set(odd))
-        if rest:
-            frame = _csv(spark, rest, "UTF-8", multiline).unionByName(frame, allowMissingColumns=True)
-    return frame.withColumn("pos", F.monotonically_increasing_id())
 
+    files: DataFrame
+    cells: DataFrame
+
+    def mapped(self, fields: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
+        """pos and the cells that feed ``fields``; a field that a file lacks is null in its rows.
+
+        ``extra`` adds columns by name, each from an expression over ``headers`` that gives
+        the place of the cell. Fails if no file at all has a column of names.
+        """
+        named = F.array_contains("fields", "college_name")
+        if not self.files.isEmpty() and self.files.where(named).isEmpty():
+            raise ValueError(f"no name column among {self.files.first()['headers']}")
+        wanted = {f: F.array_position("fields", f).cast("int") - 1 for f in fields} | (extra or {})
+        places = self.files.select("file", *[p.alias(f"p{i}") for i, p in enumerate(wanted.values())])
+        # An absent place is -1; `get` gives null for it, as for cells that a short row lacks.
+        rows = self.cells.join(places, "file")
+        return rows.select("pos", *[F.get("cells", F.coalesce(F.col(f"p{i}"), F.lit(-1))).alias(f) for i, f in enumerate(wanted)])
+
+    def headers(self) -> tuple[str, ...]:
+        """The header that all files share; unlike ones are refused."""
+        kinds = [r["headers"] for r in self.files.select("headers").distinct().limit(2).collect()]
+        if len(kinds) != 1:
+            raise ValueError("the files don't share one header")
+        return tuple(kinds[0])
 
-def _plain(header: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", header.lower())
 
+def _plain(header: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(header, F.lit(""))), "[^a-z0-9]", "")
 
-def map_headers(headers) -> dict[str, str]:
-    """Source header -> store field.
+
+def header_fields(headers: Column) -> Column:
+    """For each header the store field it feeds, or null.
 
     Headers that equal an alias are placed first, then the rest by their longest
     alias prefix; a field is taken once and an unknown header stays out.
     """
-    mapping: dict[str, str] = {}
-    open_headers = [h for h in headers if h != "pos" and _plain(h)]
-    for header in open_headers:
-        for field, aliases in vocab.HEADER_ALIASES:
-            if field not in mapping.values() and _plain(header) in aliases:
-                mapping[header] = field
-                break
-    for header in open_headers:
-        if header in mapping:
-            continue
-        starts = [
-            (len(alias), field)
-            for field, aliases in vocab.HEADER_ALIASES
-            for alias in aliases
-            if field not in mapping.values() and _plain(header).startswith(alias)
-        ]
-        if starts:
-            mapping[header] = max(starts, key=lambda s: s[0])[1]
-    return mapping
-
-
-def unmapped_headers(headers) -> list[str]:
-    known = map_headers(headers)
-    return [h for h in headers if h not in known and h != "pos"]
-
-
-def phone_header(headers) -> str | None:
-    """The phone column of a phone roster, by exact spelling."""
-    return next((h for h in headers if _plain(h) in vocab.ROSTER_PHONE_HEADERS), None)
-
-
-def _quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def mapped_columns(frame: DataFrame, fields) -> DataFrame:
-    """Select store fields by header mapping; fields the file lacks are NULL."""
-    by_field = {field: header for header, field in map_headers(frame.columns).items()}
-    if "college_name" not in by_field:
-        raise ValueError(f"no name column among {frame.columns}")
-    return frame.select(
-        "pos",
-        *[
-            (_quoted(by_field[f]) if f in by_field else F.lit(None).cast("string")).alias(f)
-            for f in fields
-        ],
+    aliases = F.array(*[
+        F.struct(F.lit(field).alias("field"), F.lit(alias).alias("alias"), F.lit(len(alias)).alias("size"))
+        for field, spellings in vocab.HEADER_ALIASES for alias in spellings
+    ])
+    spelled = F.transform(headers, lambda h, i: F.struct(_plain(h).alias("text"), i.alias("place")))
+    none = F.array().cast("array<struct<field:string,place:int>>")
+
+    def choose(taken: Column, header: Column, fits: Column) -> Column:
+        best = F.array_max(F.transform(fits, lambda a: F.struct(a["size"].alias("size"), a["field"].alias("field"))))["field"]
+        done = F.exists(taken, lambda t: t["place"] == header["place"])
+        new = F.array(F.struct(best.alias("field"), header["place"].alias("place")))
+        return F.when(done | best.isNull(), taken).otherwise(F.concat(taken, new))
+
+    def free(taken: Column, alias: Column) -> Column:
+        return ~F.exists(taken, lambda t: t["field"] == alias["field"])
+
+    exact = F.aggregate(
+        spelled, none, lambda taken, h: choose(taken, h, F.filter(aliases, lambda a: (a["alias"] == h["text"]) & free(taken, a)))
+    )
+    every = F.aggregate(
+        spelled, exact, lambda taken, h: choose(taken, h, F.filter(aliases, lambda a: F.startswith(h["text"], a["alias"]) & free(taken, a)))
     )
+    return F.transform(headers, lambda _, i: F.get(F.filter(every, lambda t: t["place"] == i), F.lit(0))["field"])
 
 
-def read_roster(spark: SparkSession, path: str, *, with_phones: bool = False,
-                multiline: bool = True) -> DataFrame:
-    """A roster file as pos, name, state, stream (and phones) cells."""
-    frame = read_contact_file(spark, path, multiline=multiline)
-    roster = mapped_columns(frame, ("college_name", "state", "stream")).withColumnRenamed(
-        "college_name", "name"
+def unmapped_headers(files: DataFrame) -> DataFrame:
+    """(file, header) for each header that feeds no field."""
+    pairs = F.arrays_zip(F.col("headers").alias("header"), F.col("fields").alias("field"))
+    return files.select("file", F.explode(pairs).alias("p")).where("p.field is null").select("file", "p.header")
+
+
+def phone_place(headers: Column) -> Column:
+    """Place of the phone column of a phone roster, by exact spelling, or null."""
+    hits = F.filter(
+        F.transform(headers, lambda h, i: F.struct(i.alias("place"), _plain(h).isin(*vocab.ROSTER_PHONE_HEADERS).alias("hit"))), lambda x: x["hit"]
     )
-    if not with_phones:
-        return roster
-    header = phone_header(frame.columns)
-    if header is None:
-        raise ValueError(f"no phone column among {frame.columns}")
-    by_field = {field: h for h, field in map_headers(frame.columns).items()}
-    return frame.select(
-        "pos",
-        *[
-            (_quoted(by_field[f]) if f in by_field else F.lit(None).cast("string")).alias(n)
-            for f, n in (("college_name", "name"), ("state", "state"), ("stream", "stream"))
-        ],
-        _quoted(header).alias("phones"),
+    return F.get(hits, F.lit(0))["place"]
+
+
+def read_contact_files(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = True) -> ContactFiles:
+    """Contact CSVs, every cell text, whatever their headers and encodings.
+
+    The first pass looks at bytes: the first line with something on it is a file's header, and a
+    file is UTF-8 if all its lines are valid UTF-8, else ISO-8859-1. The second reads all files
+    in one scan, as bytes, and decodes the cells by their file; separators and quotes
+    are the same bytes in both encodings. No list of files comes to the driver, only
+    the largest number of header cells. ``multiline`` allows line breaks inside cells (not in
+    a header) at the price of one task per file; turn it off to split large files.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+    )
+    written = F.trim(F.regexp_replace("value", "[\\r\\x{FEFF}]", "")) != ""
+    heads = lines.groupBy("file").agg(
+        F.min_by("value", F.when(written, F.col("at"))).alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    )
+    head = F.when(F.col("utf8"), F.col("head")).otherwise(F.decode(F.col("head").cast("binary"), _BYTES))
+    heads = cut_lineage(heads.select("file", "utf8", F.regexp_replace(F.coalesce(head, F.lit("")), "^\\x{FEFF}|\\r$", "").alias("head")))
+    commas = F.length("head") - F.length(F.replace(F.col("head"), F.lit(",")))
+    width = (heads.agg(F.max(commas)).first()[0] or 0) + 1
+    names = [f"c{i}" for i in range(width)]
+    schema = ", ".join(f"{n} string" for n in names)
+    cut = F.from_csv("head", schema, _QUOTING)
+    listed = F.array(*[cut[n] for n in names])
+    # A header ends with its last cell that says something.
+    ends = F.array_max(F.transform(listed, lambda h, i: F.when(F.coalesce(h, F.lit("")) != "", i + 1).otherwise(0)))
+    files = heads.select("file", "utf8", F.transform(F.slice(listed, 1, ends), lambda h: F.coalesce(h, F.lit(""))).alias("headers"))
+    files = cut_lineage(files.withColumn("fields", header_fields(F.col("headers"))))
+    raw = spark.read.schema(schema).csv(path, header=True, multiLine=multiline, encoding=_BYTES, **_QUOTING)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.array(*names).alias("raw"),
     )
+    as_utf8 = F.transform("raw", lambda c: F.encode(c, _BYTES).cast("string"))
+    cells = rows.join(files.select("file", "utf8"), "file").select(
+        "file", F.struct("file", "block", "row").alias("pos"), F.when(F.col("utf8"), as_utf8).otherwise(F.col("raw")).alias("cells")
+    )
+    return ContactFiles(files, cells)
+
+
+def read_roster(spark: SparkSession, path: str, *, with_phones: bool = False,
+                multiline: bool = True) -> DataFrame:
+    """Roster files as pos, name, state, stream (and phones) cells."""
+    found = read_contact_files(spark, path, multiline=multiline)
+    extra = {}
+    if with_phones:
+        extra["phones"] = phone_place(F.col("headers"))
+        if not found.files.isEmpty() and found.files.where(extra["phones"].isNotNull()).isEmpty():
+            raise ValueError(f"no phone column among {found.files.first()['headers']}")
+    return found.mapped(("college_name", "state", "stream"), extra).withColumnRenamed("college_name", "name")
 
 
 def read_search_results(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
