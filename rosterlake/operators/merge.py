@@ -108,6 +108,16 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: Column, pos: str = "pos"
     ])
 
 
+def require_edits(corrections: DataFrame) -> DataFrame:
+    """Fail the job on a key of which no column at all may be edited: an empty edit is a mistake of its sender."""
+    editable = F.coalesce(F.col("column").isin(*schema.EDITABLE), F.lit(False))
+    empty = corrections.groupBy(*schema.KEY).agg(F.bool_or(editable).alias("some")).where(~F.col("some"))
+    first = empty.select(F.concat_ws("|", *schema.KEY).alias("key")).head(1)
+    if first:
+        raise ValueError(f"nothing to edit for {first[0]['key']}")
+    return corrections
+
+
 def apply_corrections(stored: DataFrame, corrections: DataFrame, now: Column) -> DataFrame:
     """Set hand-edited columns of stored rows.
 

@@ -82,7 +82,7 @@ def run_batch(
     def note(seq: int, status: str, notes: str | None = None, total: int = 0, counters=None) -> None:
         counts = counters or {"processed": 0, "succeeded": 0, "failed": 0}
         spark.createDataFrame(
-            [(run_id, seq, None, state, stream, status, total, counts["processed"],
+            [(run_id, "batch", seq, None, state, stream, status, total, counts["processed"],
               counts["succeeded"], counts["failed"], notes)],
             schema.RUN_EVENT_SCHEMA,
         ).withColumn("at", at).write.mode("append").parquet(ledger_path)
@@ -90,7 +90,7 @@ def run_batch(
     note(0, "running", total=chosen.count())
     try:
         results = cut_lineage(resolve(chosen, inputs, now))
-        store.upsert(as_records(results), now=now, batch=run_id)
+        store.upsert(as_records(results), now=now)
         counters = run_counters(results, ()).first().asDict()
     except Exception as problem:
         note(1, "failed", str(problem))
