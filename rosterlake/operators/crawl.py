@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from rosterlake import vocab
 from rosterlake.functions.urls import link_priority, resolve_on_site, trim_slash
 from rosterlake.operators.ranges import first_rows, rank_rows
-from rosterlake.session import cut_lineage
+from rosterlake.session import Bucketed, cut_lineage
 
 
 def guessed_urls(sites: DataFrame, paths=vocab.GUESS_PATHS, limit: int | None = None) -> DataFrame:
@@ -69,67 +68,71 @@ def best_first_pages(
     the page index and adds the promising ones; ``max_pages - 1`` rounds follow
     the home page. A round touches one page per site, so the work is bounded by
     the number of sites, whatever the number of pages. Links resolve against the
-    site, and links to pages that do not exist never count. ``index`` should read
-    from a written table: it is kept on disk here and rebuilt from there if an
-    executor is lost.
-    """
-    # Read in every round: kept hashed by URL, so only the few taken rows move.
-    index = index.persist(StorageLevel.DISK_ONLY)
-    start = sites.select(
-        "site",
-        trim_slash(F.col("site")).alias("url_key"),
-        F.col("site").alias("url"),
-        F.struct(
-            F.lit(-vocab.SEED_PRIORITY).alias("rank"), F.lit(0).alias("depth"),
-            F.lit(0).cast("bigint").alias("seq"),
-        ).alias("place"),
-        F.lit(1).alias("page_no"),
-    )
-    state = cut_lineage(start.join(index.select("url_key"), "url_key", "left_semi").select(*start.columns))
+    site, and links to pages that do not exist never count.
 
-    def opened(taken: DataFrame, round_no: int) -> DataFrame:
-        """Promising existing links on the pages taken this round."""
-        deeper = F.lit(True) if max_depth is None else F.col("place.depth") < max_depth
-        links = taken.where(deeper).join(index, "url_key").select(
-            "site",
-            (F.col("place.depth") + 1).alias("depth"),
-            F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link"),
-        ).withColumn("priority", link_priority(F.col("link")))
-        found = links.where(F.col("priority") > 0).select(
+    The index is kept bucketed by URL and the frontier by site, so neither moves in
+    a round: only the links taken in it and found by it do.
+    """
+    spark = sites.sparkSession
+    columns = ["site", "url_key", "url", "place", "page_no"]
+    with Bucketed(spark) as kept:
+        index = kept.keep(index.select("url_key", "hrefs"), "index", "url_key")
+        start = sites.select(
             "site",
-            trim_slash(F.col("link")).alias("url_key"),
-            F.col("link").alias("url"),
+            trim_slash(F.col("site")).alias("url_key"),
+            F.col("site").alias("url"),
             F.struct(
-                (-F.col("priority")).alias("rank"),
-                F.col("depth"),
-                (F.lit(round_no).cast("bigint") * (1 << 32) + F.col("i")).alias("seq"),
+                F.lit(-vocab.SEED_PRIORITY).alias("rank"), F.lit(0).alias("depth"),
+                F.lit(0).cast("bigint").alias("seq"),
             ).alias("place"),
-            F.lit(None).cast("int").alias("page_no"),
+            F.lit(1).alias("page_no"),
         )
-        return found.join(index.select("url_key"), "url_key", "left_semi").select(*state.columns)
-
-    def merged(known: DataFrame, extra: DataFrame) -> DataFrame:
-        """One row per site and page: its page number if taken, else its best place."""
-        return known.unionByName(extra).groupBy("site", "url_key").agg(
-            F.min_by("url", "place").alias("url"),
-            F.min("place").alias("place"),
-            F.max("page_no").alias("page_no"),
-        ).select(*known.columns)
-
-    state = cut_lineage(merged(state, opened(state, 0)))
-    for page_no in range(2, max_pages + 1):
-        taken = (
-            state.where(F.col("page_no").isNull())
-            .groupBy("site")
-            .agg(F.min_by(F.struct("url_key", "url", "place"), "place").alias("t"))
-            .select("site", "t.url_key", "t.url", "t.place", F.lit(page_no).alias("page_no"))
-        ).select(*state.columns)
-        grown = taken if page_no == max_pages else taken.unionByName(opened(taken, page_no))
-        state = cut_lineage(merged(state, grown))
-        if state.where(F.col("page_no") == page_no).isEmpty():
-            break
-    index.unpersist()
-    return state.where(F.col("page_no").isNotNull()).select("site", "page_no", "url_key", "url")
+        start = start.join(index.select("url_key"), "url_key", "left_semi").select(*columns)
+
+        def opened(taken: DataFrame, round_no: int) -> DataFrame:
+            """Promising existing links on the pages taken this round."""
+            deeper = F.lit(True) if max_depth is None else F.col("place.depth") < max_depth
+            links = taken.where(deeper).join(index, "url_key").select(
+                "site",
+                (F.col("place.depth") + 1).alias("depth"),
+                F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link"),
+            ).withColumn("priority", link_priority(F.col("link")))
+            found = links.where(F.col("priority") > 0).select(
+                "site",
+                trim_slash(F.col("link")).alias("url_key"),
+                F.col("link").alias("url"),
+                F.struct(
+                    (-F.col("priority")).alias("rank"),
+                    F.col("depth"),
+                    (F.lit(round_no).cast("bigint") * (1 << 32) + F.col("i")).alias("seq"),
+                ).alias("place"),
+                F.lit(None).cast("int").alias("page_no"),
+            )
+            return found.join(index.select("url_key"), "url_key", "left_semi").select(*columns)
+
+        def merged(known: DataFrame, extra: DataFrame) -> DataFrame:
+            """One row per site and page: its page number if taken, else its best place."""
+            dealt = extra.repartition(kept.buckets, "site")
+            return known.unionByName(dealt).groupBy("site", "url_key").agg(
+                F.min_by("url", "place").alias("url"),
+                F.min("place").alias("place"),
+                F.max("page_no").alias("page_no"),
+            ).select(*columns)
+
+        known = kept.keep(start, "home", "site")
+        state = kept.keep(merged(known, opened(known, 0)), "state", "site")
+        for page_no in range(2, max_pages + 1):
+            taken = (
+                state.where(F.col("page_no").isNull())
+                .groupBy("site")
+                .agg(F.min_by(F.struct("url_key", "url", "place"), "place").alias("t"))
+                .select("site", "t.url_key", "t.url", "t.place", F.lit(page_no).alias("page_no"))
+            ).select(*columns)
+            grown = taken if page_no == max_pages else taken.unionByName(opened(taken, page_no))
+            state = kept.keep(merged(state, grown), "state", "site")
+            if state.where(F.col("page_no") == page_no).isEmpty():
+                break
+        return cut_lineage(state.where(F.col("page_no").isNotNull()).select("site", "page_no", "url_key", "url"))
 
 
 def level_pages(start: DataFrame, index: DataFrame, *, max_depth: int | None = None) -> DataFrame:
@@ -138,31 +141,33 @@ def level_pages(start: DataFrame, index: DataFrame, *, max_depth: int | None = N
     ``start`` has site, page_no, url_key and url. All sites advance together by a
     whole level a round, as many rounds as the deepest site has levels. Pages stand
     by level, then link priority, then order of discovery; no number of pages is set.
+    The index is kept bucketed by URL, so that only the links of a level move.
     """
-    index = cut_lineage(index.select("url_key", "hrefs"))
-    level = cut_lineage(
-        start.groupBy("site", "url_key").agg(F.min(F.struct("page_no", "url")).alias("p")).select(
-            "site", "url_key", "p.url", F.lit(0).alias("depth"), F.col("p.page_no").cast("bigint").alias("turn")
-        ).join(index.select("url_key"), "url_key", "left_semi")
-        .select("site", "url_key", "url", "depth", "turn")
-    )
-    known, depth = level, 0
-    while (max_depth is None or depth < max_depth) and not level.isEmpty():
-        depth += 1
-        links = level.join(index, "url_key").select(
-            "site", "turn", F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link")
-        ).withColumn("priority", link_priority(F.col("link"))).where(F.col("priority") > 0)
-        place = F.struct((-F.col("priority")).alias("rank"), "turn", "i", F.col("link").alias("url"))
-        found = links.withColumn("url_key", trim_slash(F.col("link"))).groupBy("site", "url_key").agg(F.min(place).alias("p"))
-        new = found.join(index.select("url_key"), "url_key", "left_semi").join(known, ["site", "url_key"], "left_anti").select(
-            "site", "url_key", "p.url", "p.rank", F.col("p.turn").alias("parent"), "p.i"
+    with Bucketed(start.sparkSession) as kept:
+        index = kept.keep(index.select("url_key", "hrefs"), "index", "url_key")
+        level = cut_lineage(
+            start.groupBy("site", "url_key").agg(F.min(F.struct("page_no", "url")).alias("p")).select(
+                "site", "url_key", "p.url", F.lit(0).alias("depth"), F.col("p.page_no").cast("bigint").alias("turn")
+            ).join(index.select("url_key"), "url_key", "left_semi")
+            .select("site", "url_key", "url", "depth", "turn")
+        )
+        known, depth = level, 0
+        while (max_depth is None or depth < max_depth) and not level.isEmpty():
+            depth += 1
+            links = level.join(index, "url_key").select(
+                "site", "turn", F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link")
+            ).withColumn("priority", link_priority(F.col("link"))).where(F.col("priority") > 0)
+            place = F.struct((-F.col("priority")).alias("rank"), "turn", "i", F.col("link").alias("url"))
+            found = links.withColumn("url_key", trim_slash(F.col("link"))).groupBy("site", "url_key").agg(F.min(place).alias("p"))
+            new = found.join(index.select("url_key"), "url_key", "left_semi").join(known, ["site", "url_key"], "left_anti").select(
+                "site", "url_key", "p.url", "p.rank", F.col("p.turn").alias("parent"), "p.i"
+            )
+            ranked = rank_rows(new, "turn", ["rank", "parent", "i", "url_key"], ["site"])
+            level = cut_lineage(ranked.select("site", "url_key", "url", F.lit(depth).alias("depth"), "turn"))
+            known = known.unionByName(level)
+        return rank_rows(known, "page_no", ["depth", "turn"], ["site"]).select(
+            "site", F.col("page_no").cast("int").alias("page_no"), "url_key", "url"
         )
-        ranked = rank_rows(new, "turn", ["rank", "parent", "i", "url_key"], ["site"])
-        level = cut_lineage(ranked.select("site", "url_key", "url", F.lit(depth).alias("depth"), "turn"))
-        known = known.unionByName(level)
-    return rank_rows(known, "page_no", ["depth", "turn"], ["site"]).select(
-        "site", F.col("page_no").cast("int").alias("page_no"), "url_key", "url"
-    )
 
 
 def choose_pages(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from rosterlake.functions.phones import phones_in_roster_cell
@@ -54,45 +56,80 @@ def phone_indexes(sightings: DataFrame) -> dict[str, DataFrame]:
     return indexes
 
 
-def _lookup(index: DataFrame, keys, stage: str) -> DataFrame:
-    """One row per key: first number, how many, and all distinct numbers as cell text."""
-    listed = F.array_sort(F.collect_list(F.struct("at", "phone")))
-    return index.groupBy(*keys).agg(
-        F.min_by("phone", "at").alias("first_phone"), F.count(F.lit(1)).alias("n_phones"),
-        F.array_join(F.transform(listed, lambda x: x["phone"]), ", ").alias("cell"),
-    ).select(*keys, F.struct(F.lit(stage).alias("stage"), "first_phone", "n_phones", "cell").alias(f"hit_{stage}"))
-
-
-def staged_match(
+def stage_matches(
     orgs: DataFrame, indexes: dict[str, DataFrame], *, allow_name_only: bool = False,
 ) -> DataFrame:
-    """Organisations with the numbers of the strictest stage that matches.
+    """Organisations with the strictest stage that matches, its first number and how many there are.
 
     Every lookup side has one row per key, so the row count of ``orgs`` never
-    changes however often a key occurs on either side.
+    changes however often a key occurs on either side. Only two small values come from
+    a key, folded before the exchange; its numbers stay rows of the index.
     """
     stages = STAGES if allow_name_only else STAGES[:-1]
     joined = match_keys(orgs)
     for stage, keys in stages:
-        joined = joined.join(_lookup(indexes[stage], keys, stage), list(keys), "left")
+        one = indexes[stage].groupBy(*keys).agg(F.struct(
+            F.lit(stage).alias("stage"), F.min_by("phone", "at").alias("first_phone"), F.count(F.lit(1)).alias("n_phones")
+        ).alias(f"hit_{stage}"))
+        joined = joined.join(one, list(keys), "left")
     hit = F.coalesce(*[F.col(f"hit_{stage}") for stage, _ in stages])
     return joined.withColumn("_hit", hit).select(
-        *orgs.columns,
+        *orgs.columns, "k_name", "k_state", "k_stream",
         F.coalesce("_hit.stage", F.lit("unmatched")).alias("match_stage"),
         F.col("_hit.first_phone").alias("first_phone"),
         F.coalesce("_hit.n_phones", F.lit(0)).alias("n_phones"),
-        F.when(F.col("_hit").isNull(), F.lit("")).otherwise(F.col("_hit.cell")).alias("all_phones_found"),
     )
 
 
-def match_report(matched: DataFrame) -> DataFrame:
-    """Rows per match stage; an unmatched row without a name is counted apart."""
+def matched_phones(staged: DataFrame, indexes: dict[str, DataFrame]) -> DataFrame:
+    """One row per organisation key and number of its stage: k_name, k_state, k_stream, match_stage, phone, at.
+
+    Keys that organisations share appear once, and no key's numbers are gathered.
+    """
+    keyed = staged.select("k_name", "k_state", "k_stream", "match_stage").distinct()
+    found = [keyed.where(F.col("match_stage") == stage).join(indexes[stage].select(*keys, "phone", "at"), list(keys)) for stage, keys in STAGES]
+    return reduce(DataFrame.unionByName, found)
+
+
+def staged_match(
+    orgs: DataFrame, indexes: dict[str, DataFrame], *, allow_name_only: bool = False,
+) -> DataFrame:
+    """``stage_matches`` with all numbers of the stage as one cell of text, as files want them.
+
+    The cell is the one place where the numbers of a key come together; use
+    ``matched_phones`` for anything but writing.
+    """
+    staged = stage_matches(orgs, indexes, allow_name_only=allow_name_only)
+    listed = F.array_sort(F.collect_list(F.struct("at", "phone")))
+    key = ["k_name", "k_state", "k_stream", "match_stage"]
+    cells = matched_phones(staged, indexes).groupBy(*key).agg(
+        F.array_join(F.transform(listed, lambda x: x["phone"]), ", ").alias("cell")
+    )
+    return staged.join(cells, key, "left").select(
+        *orgs.columns, "match_stage", "first_phone", "n_phones", F.coalesce("cell", F.lit("")).alias("all_phones_found")
+    )
+
+
+def match_report(matched: DataFrame, sightings: DataFrame | None = None) -> DataFrame:
+    """(match_stage, n): rows per match stage; an unmatched row without a name is counted apart.
+
+    The items ``rows`` and ``matched`` count all organisations and those with any match;
+    with ``sightings``, ``with_phones`` counts the contact rows that gave a number.
+    """
     nameless = clean_cell(F.col("name")).isNull() & (F.col("match_stage") == "unmatched")
-    return (
+    stages = (
         matched.withColumn("match_stage", F.when(nameless, "no_name").otherwise(F.col("match_stage")))
         .groupBy("match_stage")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    totals = matched.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("match_stage") != "unmatched").alias("matched")
+    ).unpivot([], ["rows", "matched"], "match_stage", "n")
+    report = stages.unionByName(totals)
+    if sightings is None:
+        return report
+    contact_rows = sightings.select("at.pos").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return report.unionByName(contact_rows.select(F.lit("with_phones").alias("match_stage"), "n"))
 
 
 def unmatched_sample(matched: DataFrame, limit: int = 25) -> DataFrame:

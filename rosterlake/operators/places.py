@@ -9,6 +9,8 @@ from rosterlake.functions.text import any_of
 
 #: Letters of a place that names are looked up by.
 _STEM = 3
+#: Places that travel as one list; about 4 MB of text.
+MOST_PLACES = 100_000
 
 
 def _outside(lowered: Column, out_of_scope) -> Column:
@@ -39,16 +41,36 @@ def _rejects(place: Column, is_state: Column) -> Column:
 
 def plausibly_in_state(
     names: DataFrame, reference: DataFrame, *, name: str = "college_name", state: str = "state",
-    out: str = "in_state", out_of_scope=vocab.OUT_OF_SCOPE_PLACES,
+    out: str = "in_state", out_of_scope=vocab.OUT_OF_SCOPE_PLACES, most_places: int = MOST_PLACES,
 ) -> DataFrame:
     """Add a flag: FALSE where a name points abroad or to another state.
 
-    ``reference`` is the (state, district) table, joined on the first letters of
-    each place; every occurrence of a place starts with its stem, so no
-    containment is missed. Names are judged once per distinct (name, state).
+    ``reference`` is the (state, district) table. Its places are counted; up to
+    ``most_places`` they travel as one list, computed once, and each name is
+    searched for all of them where it stands, without a join. A longer list is joined
+    on the first letters of its places, see ``_by_stems``.
     No place speaks against a row whose state is NULL, and a NULL name gives NULL.
     """
     places = place_list(reference)
+    if places.count() > most_places:
+        return _by_stems(names, places, name, state, out, out_of_scope)
+    listed = places.select(F.collect_list(F.struct("state", "place", _rejects(F.col("place"), F.col("is_state")).alias("rejects")))).scalar()
+    lowered = F.lower(F.col(name))
+    with_places = names.withColumn("_places", listed)
+    named = F.filter("_places", lambda p: F.contains(lowered, p["place"]))
+    own = F.exists(named, lambda p: p["state"] == F.col(state))
+    other = F.exists(named, lambda p: (p["state"] != F.col(state)) & p["rejects"])
+    off = F.lit(False)
+    verdict = _verdict(lowered, F.col(state), F.coalesce(own, off), F.coalesce(other, off), out_of_scope)
+    return with_places.withColumn(out, verdict).drop("_places")
+
+
+def _by_stems(names: DataFrame, places: DataFrame, name: str, state: str, out: str, out_of_scope) -> DataFrame:
+    """As above, by a join on the first letters of each place.
+
+    Every occurrence of a place starts with its stem, so no containment is missed.
+    Names are judged once per distinct (name, state).
+    """
     distinct = names.select(F.col(name).alias("_n"), F.col(state).alias("_s")).distinct()
     stemmed = places.withColumn("_stem", F.substring("place", 1, _STEM))
     # Places shorter than a stem are rare; only where there are some are shorter stems made.

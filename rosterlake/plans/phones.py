@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rosterlake.operators.matching import (
-    match_report, phone_indexes, phone_sightings, staged_match, unmatched_sample,
+    match_report, phone_indexes, phone_sightings, stage_matches, staged_match, unmatched_sample,
 )
+from rosterlake.session import cut_lineage
 from rosterlake.sources.tables import read_contact_files, read_roster
 
 
@@ -22,9 +23,11 @@ class PhoneMerge:
 
 def merge_phones(orgs: DataFrame, contacts: DataFrame, *, allow_name_only: bool = False) -> PhoneMerge:
     """``numbers`` holds every number per name; ``matched`` one row per organisation."""
-    indexes = phone_indexes(phone_sightings(contacts))
+    sightings = cut_lineage(phone_sightings(contacts))
+    indexes = phone_indexes(sightings)
+    staged = stage_matches(orgs, indexes, allow_name_only=allow_name_only)
     matched = staged_match(orgs, indexes, allow_name_only=allow_name_only)
-    return PhoneMerge(matched, match_report(matched), unmatched_sample(matched), indexes["name_state_stream"])
+    return PhoneMerge(matched, match_report(staged, sightings), unmatched_sample(staged), indexes["name_state_stream"])
 
 
 def merge_phone_files(

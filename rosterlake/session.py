@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     with shuffles_end_with_query(df.sparkSession):
         return df.checkpoint(eager=True)
+
+
+class Bucketed:
+    """Frames kept as tables bucketed by a key, for joins and groupings in rounds.
+
+    A table has as many buckets as a shuffle has partitions, one file each, in the
+    shared checkpoint folder; reading it needs no exchange for its key. Use it
+    as a context: its tables are dropped and their files removed at the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, {}
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> Bucketed:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self.tables):
+            self.drop(name)
+
+    def keep(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Write ``df`` as a table and return that; a table of this name is dropped afterwards."""
+        table = f"kept_{uuid.uuid4().hex}"
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/rosterlake-{table}"
+        with shuffles_end_with_query(self.spark):
+            # Dealt like the buckets, so that each is written by one task.
+            dealt = df.repartition(self.buckets, *keys)
+            dealt.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        self.drop(name)
+        self.tables[name] = table, path
+        return self.spark.table(table)
+
+    def drop(self, name: str) -> None:
+        if name in self.tables:
+            table, path = self.tables.pop(name)
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -46,7 +46,9 @@ def read_seeds(
         rows = spark.read.schema(_CACHE_SCHEMA).parquet(path)
         chosen = rows.where((F.col("state") == state) & (F.col("stream") == stream))
         first = chosen.agg(F.min_by("generated_at", "pos").alias("g")).first()
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     try:
         stamp = datetime.fromisoformat(first["g"] or "")

@@ -47,7 +47,7 @@ def export_snapshot(roster: DataFrame, path: str) -> tuple[int, int]:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot as records for the store."""
-    raw = spark.read.schema(_SCHEMA).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = _snapshot_text(spark, path)
 
     def listed(name: str):
         parts = F.split(F.coalesce(F.col(name), F.lit("")), ",")
@@ -69,23 +69,41 @@ def restore_snapshot(store: RosterStore, path: str) -> tuple[int, int]:
     return read, counts(store.read())[1]
 
 
-def compare_snapshot(store: RosterStore, path: str) -> DataFrame:
-    """Row counts of store and snapshot, and how many rows stand in one only."""
-    spark = store.spark
-    columns = list(SNAPSHOT_COLUMNS)
-    ours = snapshot_rows(store.read())
-    theirs = spark.read.schema(_SCHEMA).csv(
-        path, header=True, quote='"', escape='"', multiLine=True
-    ).select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
-    tagged = ours.select(*columns, F.lit(1).alias("s")).unionByName(
-        theirs.select(*columns, F.lit(-1).alias("s"))
-    )
-    balance = tagged.groupBy(*columns).agg(
-        F.count_if(F.col("s") == 1).alias("ours"), F.count_if(F.col("s") == -1).alias("theirs")
+def _snapshot_text(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema(_SCHEMA).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in SNAPSHOT_COLUMNS])
+
+
+def snapshot_diff(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The rows that differ: the key, ``found`` (store, snapshot or both) and the columns that changed.
+
+    Both sides have the snapshot's text columns. Rows are matched by key in one
+    aggregation over the union, with a hash of each column folded before the exchange; a key that
+    stands several times on a side counts as changed unless its rows agree.
+    """
+    rest = [c for c in SNAPSHOT_COLUMNS if c not in schema.KEY]
+    tagged = ours.select(*SNAPSHOT_COLUMNS, F.lit(True).alias("is_ours")).unionByName(theirs.select(*SNAPSHOT_COLUMNS, F.lit(False).alias("is_ours")))
+    both = tagged.groupBy(*schema.KEY).agg(
+        F.count_if("is_ours").alias("n_ours"), F.count_if(~F.col("is_ours")).alias("n_theirs"),
+        *[F.min(c).alias(f"lo_{c}") for c in rest], *[F.max(c).alias(f"hi_{c}") for c in rest],
     )
-    return balance.agg(
-        F.coalesce(F.sum("ours"), F.lit(0)).alias("store_rows"),
-        F.coalesce(F.sum("theirs"), F.lit(0)).alias("snapshot_rows"),
-        F.coalesce(F.sum(F.greatest(F.col("ours") - F.col("theirs"), F.lit(0))), F.lit(0)).alias("only_store"),
-        F.coalesce(F.sum(F.greatest(F.col("theirs") - F.col("ours"), F.lit(0))), F.lit(0)).alias("only_snapshot"),
+    changed = F.array_compact(F.array(*[F.when(F.col(f"lo_{c}") != F.col(f"hi_{c}"), F.lit(c)) for c in rest]))
+    found = F.when(F.col("n_theirs") == 0, "store").when(F.col("n_ours") == 0, "snapshot").otherwise("both")
+    alone = F.col("found") != "both"
+    return both.select(*schema.KEY, found.alias("found"), changed.alias("changed"), "n_ours", "n_theirs").where(
+        alone | (F.size("changed") > 0) | (F.col("n_ours") != F.col("n_theirs"))
+    ).withColumn("changed", F.when(alone, F.array().cast("array<string>")).otherwise(F.col("changed")))
+
+
+def compare_snapshot(store: RosterStore, path: str) -> DataFrame:
+    """Rows and outwardly visible rows of store and snapshot, and how many rows stand in one only or differ."""
+    ours, theirs = snapshot_rows(store.read()), _snapshot_text(store.spark, path)
+    counted = [
+        rows.agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.count_if(is_complete()).alias(f"{name}_visible"))
+        for name, rows in (("store", ours), ("snapshot", theirs))
+    ]
+    differ = snapshot_diff(ours, theirs).agg(
+        *[F.count_if(F.col("found") == x).alias(n) for x, n in (("store", "only_store"), ("snapshot", "only_snapshot"), ("both", "changed"))]
     )
+    # Three frames of one row each.
+    return counted[0].crossJoin(counted[1]).crossJoin(differ)

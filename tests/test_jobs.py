@@ -9,6 +9,7 @@ from rosterlake.operators.places import plausibly_in_state
 from rosterlake.plans import grow as jobs
 from rosterlake.plans.fill import fill_report, fill_store
 from rosterlake.plans.resolve import ResolveInputs, resolve
+from rosterlake.sources.reference import read_districts
 from rosterlake.sources.store import RosterStore
 
 
@@ -64,6 +65,21 @@ def test_places(spark):
     assert got == {("Mangaluru Institute", "Kerala"): False, ("Palakkad Institute", "Kerala"): True, ("Mangaluru Hall", None): True, (None, "Kerala"): None}
 
 
+def test_places_beyond_the_bound_of_a_list(spark):
+    """Both ways of searching agree, on places inside words, nested places and short ones."""
+    reference = spark.createDataFrame([("Kerala", "Palakkad"), ("Kerala", "Go"), ("Karnataka", "Mangaluru"), ("Karnataka", "Uttara Kannada"), ("Goa", "North Goa"), ("Goa", "")], "state string, district string")
+    words = ["mangaluru", "palakkad", "north goa", "uttara kannada", "kerala", "gokarna", "harvard", "pune", "hall"]
+    names = spark.createDataFrame([(f"{a} College {b}", s) for a in words for b in words for s in ("Kerala", "Goa", "Karnataka", None)] + [(None, "Goa"), ("", "Goa")], "college_name string, state string")
+    listed, joined = ({(r.college_name, r.state): r.in_state for r in plausibly_in_state(names, reference, most_places=n).collect()} for n in (1000, 0))
+    assert listed == joined and set(listed.values()) == {True, False, None}
+
+
+def test_the_reference_is_read_without_a_view(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"_note": ["x"], "Goa": ["North Goa", "South Goa"], "Kerala": []}')
+    assert sorted(tuple(r) for r in read_districts(spark, f"{tmp_path}/d.json").collect()) == [("Goa", "North Goa"), ("Goa", "South Goa")]
+    assert not spark.catalog.listTables() or all(not t.isTemporary for t in spark.catalog.listTables())
+
+
 def test_all_listing_pages_unless_a_number_is_given(spark):
     rows = [("S", "BCA", i % 2, i, f"https://www.shiksha.com/{i}") for i in range(9)]
     results = spark.createDataFrame(rows, "state string, stream string, query_no int, rank int, url string")
