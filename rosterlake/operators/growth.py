@@ -11,6 +11,12 @@ from rosterlake.functions.text import normalize_name
 from rosterlake.operators.ranges import running_sums
 
 
+def with_name_key(rows: DataFrame, name: str = "college_name", out: str = "name_key") -> DataFrame:
+    """Add the match key of a name, worked out once for each distinct name."""
+    keys = rows.select(F.col(name).alias("_name")).distinct().withColumn(out, normalize_name(F.col("_name")))
+    return rows.join(keys, F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
+
+
 def new_candidates(
     seeds: DataFrame, stored: DataFrame, targets: Sequence[tuple[str, str]] = vocab.GROW_TARGETS,
     *, by: Sequence[str] = ("name_key",), pos: str = "pos",
@@ -18,21 +24,24 @@ def new_candidates(
     """Seeds the store does not hold yet, each name once, in target order.
 
     ``by`` are the columns that make two rows the same; the default is the
-    normalised name alone. Copies fold in one aggregation before the anti-join.
+    normalised name alone. Copies of a name as written fold first, so that names are
+    normalised once each; then those of one key fold, before the anti-join.
     """
     order = F.coalesce(*[
         F.when((F.col("state") == state) & (F.col("stream") == stream), F.lit(i))
         for i, (state, stream) in enumerate(targets)
     ])
-    keyed = seeds.withColumns({
-        "name_key": normalize_name(F.col("college_name")), "target_no": order,
-    }).where((F.col("name_key") != "") & F.col("target_no").isNotNull())
-    columns = [c for c in keyed.columns if c not in by]
-    first = keyed.groupBy(*by).agg(
-        F.min_by(F.struct(*columns), F.struct("target_no", pos)).alias("f")
-    ).select(*by, "f.*")
+
+    def first_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        columns = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct("target_no", pos)).alias("f")).select(*keys, "f.*")
+
+    wanted = seeds.withColumn("target_no", order).where(F.col("target_no").isNotNull())
+    spelled = first_of(wanted, ["college_name", *[c for c in by if c != "name_key"]])
+    keyed = spelled.withColumn("name_key", normalize_name(F.col("college_name"))).where(F.col("name_key") != "")
     have = stored.withColumn("name_key", F.col("normalized_name")).select(*by).distinct()
-    return first.join(have, list(by), "left_anti").select(*keyed.columns)
+    columns = [*seeds.columns, "name_key", "target_no"]
+    return first_of(keyed, list(by)).join(have, list(by), "left_anti").select(*columns)
 
 
 def grow_report(seeds: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlake import schema, vocab
-from rosterlake.functions.text import blank_to_null
+from rosterlake.functions.text import blank_to_null, normalize_district, normalize_name
 
 
 def best_email() -> Column:
@@ -34,6 +34,17 @@ def _check(value: str | None, allowed, name: str) -> None:
         raise ValueError(f"{name} must be one of {allowed}, not {value!r}")
 
 
+def by_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored rows of the given (normalized_name, district, stream) keys; a key that isn't stored gives none."""
+    return rows.join(keys.select(*schema.KEY).distinct(), list(schema.KEY), "left_semi")
+
+
+def one_org(rows: DataFrame, name: str, district: str, stream: str) -> DataFrame:
+    """The row of one organisation, its name and district in any spelling; the key filters reach the scan."""
+    key = zip(schema.KEY, (normalize_name(F.lit(name)), normalize_district(F.lit(district)), F.lit(stream)), strict=True)
+    return rows.where(reduce(and_, [F.col(c) == value for c, value in key]))
+
+
 def roster_filter(
     *, state: str | None = None, stream: str | None = None, status: str | None = None,
     outreach_status: str | None = None, search: str | None = None,

@@ -5,12 +5,12 @@ import pathlib
 import duckdb
 import pytest
 
-from rosterlake import registered, registered_more
+from rosterlake import registered, registered_jobs, registered_more
 from rosterlake.operators import ledger, matching, roster as views
 
 SF = "/root/testdata/sf0.001"
-QUERIES = registered.QUERIES | registered_more.QUERIES
-ORACLES = registered.ORACLES | registered_more.ORACLES
+QUERIES = registered.QUERIES | registered_more.QUERIES | registered_jobs.QUERIES
+ORACLES = registered.ORACLES | registered_more.ORACLES | registered_jobs.ORACLES
 
 
 @pytest.fixture(scope="module")
