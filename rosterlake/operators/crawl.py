@@ -120,7 +120,7 @@ def best_first_pages(
             ).select(*columns)
 
         known = kept.keep(start, "home", "site")
-        state = kept.keep(merged(known, opened(known, 0)), "state", "site")
+        state = kept.keep(merged(known, opened(known, 0)), "state", "site", dealt=True)
         for page_no in range(2, max_pages + 1):
             taken = (
                 state.where(F.col("page_no").isNull())
@@ -129,7 +129,7 @@ def best_first_pages(
                 .select("site", "t.url_key", "t.url", "t.place", F.lit(page_no).alias("page_no"))
             ).select(*columns)
             grown = taken if page_no == max_pages else taken.unionByName(opened(taken, page_no))
-            state = kept.keep(merged(state, grown), "state", "site")
+            state = kept.keep(merged(state, grown), "state", "site", dealt=True)
             if state.where(F.col("page_no") == page_no).isEmpty():
                 break
         return cut_lineage(state.where(F.col("page_no").isNotNull()).select("site", "page_no", "url_key", "url"))

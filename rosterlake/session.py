@@ -95,14 +95,17 @@ class Bucketed:
         for name in list(self.tables):
             self.drop(name)
 
-    def keep(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """Write ``df`` as a table and return that; a table of this name is dropped afterwards."""
+    def keep(self, df: DataFrame, name: str, *keys: str, dealt: bool = False) -> DataFrame:
+        """Write ``df`` as a table and return that; a table of this name is dropped afterwards.
+
+        ``dealt``: the rows are dealt by these keys already, so they need no exchange.
+        """
         table = f"kept_{uuid.uuid4().hex}"
         path = f"{checkpoint_dir(self.spark).rstrip('/')}/rosterlake-{table}"
         with shuffles_end_with_query(self.spark):
             # Dealt like the buckets, so that each is written by one task.
-            dealt = df.repartition(self.buckets, *keys)
-            dealt.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+            rows = df if dealt else df.repartition(self.buckets, *keys)
+            rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
         self.drop(name)
         self.tables[name] = table, path
         return self.spark.table(table)

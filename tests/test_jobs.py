@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake import schema
-from rosterlake.operators import channels
+from rosterlake.operators import channels, crawl
 from rosterlake.operators.places import plausibly_in_state
 from rosterlake.plans import grow as jobs
 from rosterlake.plans.fill import fill_report, fill_store
 from rosterlake.plans.resolve import ResolveInputs, resolve
+from rosterlake.session import Bucketed
 from rosterlake.sources.reference import read_districts
 from rosterlake.sources.store import RosterStore
 
@@ -103,3 +104,31 @@ def test_all_pages_of_a_site_are_read(spark):
         assert len(got[base[word]].source_urls) == count
         assert got[base[word]].placement_email == f"placement@{word}.ac.in"
     assert got[base["lakeview"]].source_urls == [u for u, _ in chain]
+
+
+def _chain(spark, n):
+    """A site whose pages each link to the next two; every third page doesn't exist."""
+    url = lambda i: "https://www.a.org" if i == 0 else f"https://www.a.org/contact/{i}"
+    index = spark.createDataFrame([(url(i), [f"/contact/{i + 1}", f"/contact/{i + 2}", "/library"]) for i in range(n) if i % 3 != 2], "url_key string, hrefs array<string>")
+    return spark.createDataFrame([(url(0),)], "site string"), index, url
+
+
+def test_best_first_rounds_move_only_what_they_find(spark, monkeypatch):
+    """Neither the index nor the frontier passes an exchange within a round."""
+    plans, keep = [], Bucketed.keep
+
+    def spy(self, df, name, *keys, **options):
+        if name == "state":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name, *keys, **options)
+
+    monkeypatch.setattr(Bucketed, "keep", spy)
+    sites, index, url = _chain(spark, 12)
+    got = crawl.best_first_pages(sites, index, max_pages=6, max_depth=None).orderBy("page_no").collect()
+    assert [r.url for r in got] == [url(i) for i in (0, 1, 3, 4, 6, 7)]
+    scan = lambda lines, at: next(x for x in lines[at + 1 :] if "FileScan" in x or "Exchange" in x)
+    lines = plans[-1].splitlines()
+    frontier = next(i for i, x in enumerate(lines) if x.strip(" +-:") == "Union")
+    assert "Bucketed: true" in lines[frontier + 1] and "Exchange" not in "".join(lines[:frontier])
+    assert all("Bucketed: true" in x for x in lines if "FileScan" in x) and scan(lines, frontier)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("kept_")]
