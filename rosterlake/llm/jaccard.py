@@ -44,12 +44,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rosterlake.llm.common import Scratch, arrow_map, keyed
-from rosterlake.llm.graph import components
+from rosterlake.llm.graph import components, merged_roots, some
 from rosterlake.operators.ranges import rank_rows
 
 SHINGLE = 5
 #: Largest signature group whose pairs are all written out; groups beyond it are compared stepwise.
 COLD = 24
+#: Members of a large group that are compared with all later ones in its first round, and by what that grows.
+FIRST_WIDTH, WIDENING = 32, 64
 #: Values of the bits of a signature that hold its band.
 _BANDS = 32
 #: Sets below this size have one part per element.
@@ -251,12 +253,6 @@ def _element_step(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[pa.R
         )
 
 
-def _joined(root: DataFrame, found: DataFrame) -> DataFrame:
-    """Components after the alike pairs of ``found``, from those before: a star for each, so few rounds are left."""
-    new = found.where("alike").select("a", "b")
-    return root if new.isEmpty() else components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
-
-
 @contextlib.contextmanager
 def _runtime_filter(spark: SparkSession) -> Iterator[None]:
     """Let Spark build its Bloom filter for a join whatever the sizes; its own size stays bounded."""
@@ -272,6 +268,59 @@ def _runtime_filter(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(prefix + k, v)
 
 
+class _Groups:
+    """Links among sets that stayed uncovered, from the large groups of a frequent element.
+
+    First every set is compared with the first member of a group that it shares
+    most of its groups with. Then, in rounds, every group that still spans
+    several components compares its next members, ``FIRST_WIDTH`` and then ever more,
+    with its later members of other components. A group ends when it is connected
+    or its members are used up.
+    """
+
+    def __init__(self, scratch: Scratch, dense: DataFrame, percent: int):
+        lean = dense.withColumn("rare", F.col("n") - F.col("aside")).withColumn("excess", F.col("rare") * 9 - F.col("n"))
+        self.scratch, self.ranked = scratch, scratch.write(rank_rows(lean, "place", ["excess", "key"], ["sig"]), "ranked")
+        differ = F.col("rare_a") + F.col("rare_b") + F.abs(F.col("aside_a") - F.col("aside_b"))
+        # The first common element of a pair with so many stands early in both orders.
+        common = F.ceil((F.col("n_a") + F.col("n_b")) * 4 / 9)
+        self.possible = (
+            (differ * 9 <= F.col("n_a") + F.col("n_b"))
+            & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+            & (F.col("turn_a") <= F.col("aside_a") - common + 1)
+            & (F.col("turn_b") <= F.col("aside_b") - common + 1)
+        )
+
+    @staticmethod
+    def _end(df: DataFrame, x: str) -> DataFrame:
+        return df.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "sig"])
+
+    @staticmethod
+    def _pair(df: DataFrame) -> DataFrame:
+        return df.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+
+    def stars(self) -> DataFrame:
+        """(a, b): each set with the first member of most of its groups."""
+        first, others = self.ranked.where("place = 1"), self.ranked.where("place > 1")
+        votes = self._end(others, "a").join(self._end(first, "b"), "sig").where(self.possible)
+        best = votes.groupBy("key_a", "key_b").agg(F.count("*").alias("c")).groupBy("key_a").agg(
+            F.max_by("key_b", F.struct("c", "key_b")).alias("key_b")
+        )
+        return self._pair(best)
+
+    def pairs(self, root: DataFrame, done: int, width: int) -> DataFrame | None:
+        """(a, b) of the next ``width`` members after ``done`` with later ones of other components, or None at the end."""
+        known = root.withColumnRenamed("node", "key")
+        state = self.ranked.where(F.col("place") > done).join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        spans = state.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+        state = self.scratch.write(state.join(spans, "sig"), f"state-{done}")
+        if not some(state):
+            return None
+        met = self._end(state, "a").join(self._end(state.where(F.col("place") <= done + width), "b"), "sig")
+        apart = (F.col("root_a") != F.col("root_b")) & (F.col("place_a") > F.col("place_b"))
+        return self._pair(met.where(apart & self.possible)).distinct()
+
+
 class JaccardJoin:
     """One run of the join: classes of equal sets, links between classes, components.
 
@@ -294,11 +343,11 @@ class JaccardJoin:
                 ),
                 f"classes-{self.seed}",
             )
-            if self.classes.where("clash").isEmpty():
+            if not some(self.classes.where("clash")):
                 break
             self.seed += 1  # two different sets with one 64-bit key: hash everything anew
         self.root = self._root()
-        for name in ("shared", "sets", "pairs", "reps", "texts", "elements", "fine-shared", "fine-sets", "fine-pairs", "dense", "ranked"):
+        for name in ("shared", "sets", "pairs", "reps", "texts", "elements", "fine-shared", "fine-sets", "fine-pairs", "dense", "ranked", "first"):
             self.scratch.drop(name)
 
     def _shared(self, sent: DataFrame, name: str) -> DataFrame:
@@ -356,15 +405,28 @@ class JaccardJoin:
         pairs = self._pairs(shared, sets.drop("rep"), least, "pairs")
         uncovered = sets.where("short or aside > floor(n / 25)")
         self.texts = self._texts(pairs, uncovered, sets)
-        fine, fine_pairs = self._fine(uncovered)
+        dense, fine_pairs = self._fine(uncovered)
         pairs = pairs.union(fine_pairs)
+        groups = _Groups(self.scratch, dense, self.PERCENT) if some(dense) else None
         # First each class with the partner it shares most with, then what that leaves apart.
         ends = pairs.select("a", "b", F.col("a").alias("node"), "common").union(pairs.select("a", "b", F.col("b"), "common"))
-        best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p"))
-        first = self._verified(best.select("p.a", "p.b").distinct(), "first")
-        root = components(first.where("alike"))
-        rest = self._across(pairs.select("a", "b").distinct(), root).join(first, ["a", "b"], "left_anti")
-        return self._dense(fine, _joined(root, self._verified(rest, "rest")))
+        best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.a", "p.b")
+        taken = self._verified((best.union(groups.stars()) if groups else best).distinct(), "first")
+        root = self.scratch.write(components(taken.where("alike")), "root-0")
+        new, done, width, step = self._across(pairs.select("a", "b"), root), 0, FIRST_WIDTH, 0
+        while True:
+            met = groups.pairs(root, done, width) if groups else None
+            if met is not None:
+                new = met if new is None else new.union(met)
+            elif new is None:
+                return root
+            got = self._verified(new.distinct().join(taken, ["a", "b"], "left_anti"), f"rest-{step}")
+            if some(got.where("alike")):
+                root = self.scratch.write(merged_roots(root, got.where("alike").select("a", "b")), f"root-{step + 1}")
+            if met is None:
+                return root
+            taken, new = taken.union(got), None
+            done, width, step = done + width, width * WIDENING, step + 1
 
     def _texts(self, pairs: DataFrame, uncovered: DataFrame, sets: DataFrame) -> DataFrame:
         """key, text of the representatives that any comparison needs.
@@ -406,52 +468,6 @@ class JaccardJoin:
         )
         return self.scratch.write(prefix, "dense"), pairs
 
-    def _dense(self, dense: DataFrame, root: DataFrame) -> DataFrame:
-        """``root`` with the links among sets that stayed uncovered, from the large groups.
-
-        First every set is compared with the first member of a group that it shares
-        most of its groups with. Then, in rounds, every group that still spans
-        several components compares its next members, 16, 128 and so on, with its
-        later members of other components. A group ends when it is connected or its
-        members are used up.
-        """
-        if dense.isEmpty():
-            return root
-        lean = dense.withColumn("rare", F.col("n") - F.col("aside")).withColumn("excess", F.col("rare") * 9 - F.col("n"))
-        ranked = self.scratch.write(rank_rows(lean, "place", ["excess", "key"], ["sig"]), "ranked")
-        end = lambda df, x: df.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "sig"])
-        differ = F.col("rare_a") + F.col("rare_b") + F.abs(F.col("aside_a") - F.col("aside_b"))
-        # The first common element of a pair with so many stands early in both orders.
-        common = F.ceil((F.col("n_a") + F.col("n_b")) * 4 / 9)
-        possible = (
-            (differ * 9 <= F.col("n_a") + F.col("n_b"))
-            & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.PERCENT)
-            & (F.col("turn_a") <= F.col("aside_a") - common + 1)
-            & (F.col("turn_b") <= F.col("aside_b") - common + 1)
-        )
-        pair = [F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")]
-        votes = end(ranked.where("place > 1"), "a").join(end(ranked.where("place = 1"), "b"), "sig").where(possible)
-        best = votes.groupBy("key_a", "key_b").agg(F.count("*").alias("c")).groupBy("key_a").agg(
-            F.max_by("key_b", F.struct("c", "key_b")).alias("key_b")
-        )
-        star = self._verified(best.select(*pair).distinct(), "star")
-        root = _joined(root, star)
-        taken, done, width = star.select("a", "b"), 0, 16
-        while True:
-            known = root.withColumnRenamed("node", "key")
-            state = ranked.where(F.col("place") > done).join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            spans = state.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-            state = self.scratch.write(state.join(spans, "sig"), f"state-{done}")
-            if state.isEmpty():
-                return root
-            met = end(state, "a").join(end(state.where(F.col("place") <= done + width), "b"), "sig")
-            pairs = met.where((F.col("root_a") != F.col("root_b")) & (F.col("place_a") > F.col("place_b")) & possible)
-            got = self._verified(pairs.select(*pair).distinct().join(taken, ["a", "b"], "left_anti"), f"dense-{done}")
-            taken = taken.union(got.select("a", "b"))
-            root = _joined(root, got)
-            self.scratch.drop(f"state-{done}")
-            done, width = done + width, width * 8
-
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         root = self.root.withColumnRenamed("node", "key")
