@@ -78,14 +78,21 @@ def _segments(text: str, most: int) -> Iterator[str]:
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids of a whole text as unsigned 32-bit integers, no special tokens added."""
+    """The ids of a whole text as unsigned 32-bit integers, no special tokens added.
+
+    A part that can't be cut for twice ``SEGMENT_CHARS`` goes to the first library: its splitting rule
+    takes any run of blanks or of line breaks, where the rule of the faster one would
+    exceed its stack beyond a million of them.
+    """
     fast = _fast(path)
     if fast is None:
         return np.asarray(tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
     coder, added = fast
     out = []
     for part in _segments(text, SEGMENT_CHARS):
-        if any(s in part for s in added):
+        if len(part) > 2 * SEGMENT_CHARS:
+            out.append(np.asarray(tokenizer(path).encode(part, add_special_tokens=False).ids, np.uint32))
+        elif any(s in part for s in added):
             out.append(np.asarray(coder.encode(part, allowed_special="all"), np.uint32))
         else:
             out.append(np.asarray(coder.encode_ordinary(part), np.uint32))

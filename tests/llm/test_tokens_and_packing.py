@@ -100,3 +100,8 @@ def test_each_place_makes_the_sum_of_squares_smallest():
         assert cost(b) == min(map(cost, fits))
         assert o == fill[b]
         fill[b] += s
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "word " + " \t\n\r" * 700_000 + "end", "x" + "\u3000" * 1_200_000 + " y"])
+def test_ids_of_millions_of_blanks(text):
+    assert packing.token_ids(text, PATH).tolist() == encode(text)
