@@ -238,7 +238,9 @@ def near_vectors(
         .cogroup(per_block.select(*by, "reps", "world").groupBy(*by))
         .applyInPandas(lambda k, x, y: _search(k, x, y, threshold), "a bigint, b bigint")
     )
-    links = scratch.write(found.union(found.select("b", "a")).distinct(), "links")
+    # Each search is asked once; its finds count for both ends.
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    links = scratch.write(found.select(both.alias("l")).select("l.a", "l.b").distinct(), "links")
     scratch.drop("worlds")
     sizes = classes.select(F.col("rep").alias("b"), "size")
     n_links = links.join(sizes, "b").groupBy("a").agg(F.sum("size").alias("others"))
