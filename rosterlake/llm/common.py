@@ -54,6 +54,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def free_prefix(df: DataFrame, base: str) -> str:
+    """``base``, with as many underscores as it takes that no column of ``df`` begins with it."""
+    while any(c.lower().startswith(base.lower()) for c in df.columns):
+        base += "_"
+    return base
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder to cut lineage.
 

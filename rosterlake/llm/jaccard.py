@@ -43,7 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rosterlake.llm.common import Scratch, arrow_map, keyed
+from rosterlake.llm.common import Scratch, arrow_map, free_prefix, keyed
 from rosterlake.llm.graph import components, merged_roots, some
 from rosterlake.operators.ranges import rank_rows
 
@@ -492,8 +492,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _row_name(docs: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
     """64 bits that stand for a row's id and text; null is an id like any other, and a null text is empty."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return F.xxhash64(F.lit(seed), docs[id_col].isNull(), docs[id_col].cast("bigint"), text)
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+    return F.xxhash64(F.lit(seed), docs[f"`{id_col}`"].isNull(), docs[f"`{id_col}`"].cast("bigint"), text)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -504,18 +504,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id loses no text. Texts without a word are linked with nothing: of them, rows of
     one id (or none) and one text stay once.
     """
-    seed = 0
+    scratch, seed = Scratch(docs.sparkSession), 0
     while True:
-        both = docs.select(_row_name(docs, id_col, text_col, 2 * seed).alias("a"), _row_name(docs, id_col, text_col, 2 * seed + 1).alias("b"))
-        if both.groupBy("a").agg((F.min("b") != F.max("b")).alias("clash")).where("clash").isEmpty():
+        a, b = (_row_name(docs, id_col, text_col, 2 * seed + i) for i in (0, 1))
+        # The texts are hashed once; what follows reads three numbers a row.
+        names = scratch.write(docs.select(a.alias("row"), b.alias("check"), docs[f"`{id_col}`"].cast("bigint").alias("id")), f"names-{seed}")
+        if not some(names.groupBy("row").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")):
             break
         seed += 1  # two different rows with one name: name everything anew
-    name = _row_name(docs, id_col, text_col, 2 * seed).alias("_row")
-    found = jaccard_components(docs.select(name, docs[text_col].alias("text")), "_row", "text").select(
-        F.col("doc_id").alias("_row"), "component_id"
+    found = jaccard_components(docs.select(a.alias("row"), docs[f"`{text_col}`"].alias("text")), "row", "text").select(
+        F.col("doc_id").alias("row"), "component_id"
     )
-    ids = docs.select(name, docs[id_col].cast("bigint").alias("id")).distinct()
-    place = F.struct(F.col("id").isNull().alias("lost"), "id", "_row")
-    kept = found.distinct().join(ids, "_row").groupBy("component_id").agg(F.min(place).alias("p")).select("p._row")
-    named = docs.select("*", name).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    place = F.struct(F.col("id").isNull().alias("lost"), "id", "row")
+    kept = found.distinct().join(names.select("row", "id").distinct(), "row").groupBy("component_id").agg(F.min(place).alias("p"))
+    mine = free_prefix(docs, "row")
+    named = docs.withColumn(mine, a).join(kept.select(F.col("p.row").alias(mine)), mine, "left_semi").dropDuplicates([mine])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterlake.llm.common import BLANKS
+from rosterlake.llm.common import BLANKS, free_prefix
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -82,19 +82,20 @@ def _any_of(text: Column, parts: Iterable[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(p)) for p in parts])
 
 
-def _line_fails(line: Column) -> Column:
+def _line_fails(line: Column, inner: str) -> Column:
     """Whether a line with a word fails one of the three rules.
 
-    What the whole text lacks needn't be looked for in its lines.
+    What the whole text lacks needn't be looked for in its lines. ``inner`` begins the
+    names of the columns that say so.
     """
     words = F.size(_words(line))
     noisy = F.regexp_count(line, F.lit(NOISY_WORD)) * 100 > words * NOISY_PERCENT
     entries = F.regexp_count(line, F.lit(NAVIGATION)) * 100 > words * NOISY_PERCENT
     return (
         ~line.rlike(SENTENCE_END)
-        | ((F.col("_rules_symbols") | F.col("_rules_runs")) & noisy)
-        | (F.col("_rules_menu") & entries)
-        | (F.col("_rules_furniture") & line.rlike(BOILERPLATE))
+        | ((F.col(f"{inner}symbols") | F.col(f"{inner}runs")) & noisy)
+        | (F.col(f"{inner}menu") & entries)
+        | (F.col(f"{inner}furniture") & line.rlike(BOILERPLATE))
     )
 
 
@@ -110,42 +111,43 @@ def judge_lines(docs: DataFrame, text_col: str = "text", verdict: str = "rules")
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Each step stands on columns that the step before has computed once.
-    flags = _once(docs, _rules_text=text, _rules_low=F.lower(text))
+    inner = free_prefix(docs, "rules_")
+    got = lambda name: F.col(f"{inner}{name}")
+    flags = _once(docs, inner, text=text, low=F.lower(text))
     flags = _once(
-        flags,
-        _rules_symbols=_any_of(F.col("_rules_text"), SYMBOLS),
-        _rules_runs=_any_of(F.col("_rules_text"), ("!!", "??")),
-        _rules_menu=_any_of(F.col("_rules_text"), _SEPARATORS),
-        _rules_furniture=_any_of(F.col("_rules_low"), _BOILERPLATE_STEMS),
+        flags, inner,
+        symbols=_any_of(got("text"), SYMBOLS),
+        runs=_any_of(got("text"), ("!!", "??")),
+        menu=_any_of(got("text"), _SEPARATORS),
+        furniture=_any_of(got("low"), _BOILERPLATE_STEMS),
     )
     split = _once(
-        flags,
-        _rules_words=_words(F.col("_rules_text")),
-        _rules_lines=F.filter(F.split("_rules_text", "\n"), lambda x: x.rlike(_WORD_CHAR)),
+        flags, inner,
+        words=_words(got("text")),
+        lines=F.filter(F.split(got("text"), "\n"), lambda x: x.rlike(_WORD_CHAR)),
     )
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
     # The gate spares texts without any symbol the slower count.
-    symbols = F.length("_rules_text") - F.length(F.translate("_rules_text", SYMBOLS, ""))
+    symbols = F.length(got("text")) - F.length(F.translate(got("text"), SYMBOLS, ""))
     counted = _once(
-        split,
-        _rules_n_words=F.size("_rules_words").cast("bigint"),
-        _rules_word_chars=F.length(F.array_join("_rules_words", "")).cast("bigint"),
-        _rules_n_symbols=F.when(F.col("_rules_symbols"), symbols).otherwise(F.lit(0)).cast("bigint"),
-        _rules_n_dup_lines=(F.size("_rules_lines") - F.size(F.array_distinct("_rules_lines"))).cast("bigint"),
-        _rules_all_chars=total(F.col("_rules_lines")),
-        _rules_hashes=_window_hashes(F.col("_rules_words")),
-        _rules_good=F.filter("_rules_lines", lambda x: ~_line_fails(x)),
+        split, inner,
+        n_words=F.size(got("words")).cast("bigint"),
+        word_chars=F.length(F.array_join(got("words"), "")).cast("bigint"),
+        n_symbols=F.when(got("symbols"), symbols).otherwise(F.lit(0)).cast("bigint"),
+        n_dup_lines=(F.size(got("lines")) - F.size(F.array_distinct(got("lines")))).cast("bigint"),
+        all_chars=total(got("lines")),
+        hashes=_window_hashes(got("words")),
+        good=F.filter(got("lines"), lambda x: ~_line_fails(x, inner)),
     )
     repeats = F.when(
-        F.size(F.array_distinct("_rules_hashes")) < F.size("_rules_hashes"), _covered(F.col("_rules_hashes"))
+        F.size(F.array_distinct(got("hashes"))) < F.size(got("hashes")), _covered(got("hashes"))
     ).otherwise(F.lit(0).cast("bigint"))
     counted = _once(
-        counted,
-        _rules_n_repeat_words=repeats,
-        _rules_good_chars=total(F.col("_rules_good")),
-        _rules_cleaned=F.array_join("_rules_good", "\n"),
+        counted, inner,
+        n_repeat_words=repeats,
+        good_chars=total(got("good")),
+        cleaned=F.array_join(got("good"), "\n"),
     )
-    got = lambda name: F.col(f"_rules_{name}")
     base_failed = (got("n_words") < 10) | (got("n_repeat_words") * 100 > got("n_words") * 20)
     lost = got("all_chars") - got("good_chars")
     return counted.select(
@@ -160,13 +162,13 @@ def judge_lines(docs: DataFrame, text_col: str = "text", verdict: str = "rules")
     )
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns through a one-row generator.
+def _once(df: DataFrame, inner: str, **columns: Column) -> DataFrame:
+    """Add columns, their names after ``inner``, through a one-row generator.
 
     The optimizer copies the expressions of a plain projection into every place
     that uses them, which here would split a text anew for each count and filter.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(f"{inner}{n}") for n, c in columns.items()]))))
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -174,8 +176,9 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``n_chars``, where there is one, counts the cleaned text.
     """
-    judged = judge_lines(docs, text_col, "_rules_verdict").where("_rules_verdict.kept")
-    new = {text_col: F.col("_rules_verdict.cleaned")}
+    verdict = free_prefix(docs, "verdict")
+    judged = judge_lines(docs, text_col, verdict).where(f"{verdict}.kept")
+    new = {text_col: F.col(f"{verdict}.cleaned")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_rules_verdict.cleaned").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length(f"{verdict}.cleaned").cast(docs.schema["n_chars"].dataType)
     return judged.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

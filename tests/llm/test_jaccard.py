@@ -88,3 +88,11 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_no_rows(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
+
+
+def test_one_of_each_beside_columns_named_like_inner_ones(spark):
+    rows = [(1, "a b c d e f", 5, "x", 1), (2, "a b c d e f", 6, "y", 2), (None, None, 7, "z", 3), (None, None, 8, "z", 3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _row int, row string, component_id int")
+    kept = jaccard.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0, r._row in (5, 7, 8)) for r in kept.collect()) == [(0, True), (1, True)]

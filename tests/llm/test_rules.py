@@ -63,3 +63,11 @@ def test_kept_documents_have_the_same_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = rules.kept_documents(docs(spark, CASES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_like_inner_ones(spark):
+    names = ["doc_id", "text", "_rules_text", "rules_text", "rules__words", "verdict", "Verdict_x", "n_chars"]
+    rows = [(1, "A good line of prose stands here, long enough to be kept.\nmenu | about | contact | home |", "a", "b", "c", "d", "e", 7), (2, None, "a", "b", "c", "d", "e", 0)]
+    kept = rules.kept_documents(spark.createDataFrame(rows, "doc_id int, text string, _rules_text string, rules_text string, rules__words string, verdict string, Verdict_x string, n_chars int"))
+    assert kept.columns == names
+    assert [tuple(r) for r in kept.collect()] == [(1, "A good line of prose stands here, long enough to be kept.", "a", "b", "c", "d", "e", 57)]
