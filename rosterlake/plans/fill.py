@@ -26,48 +26,51 @@ def incomplete_orgs(roster: DataFrame, *, state: str | None = None, limit: int |
     return rows if limit is None else rows.orderBy("college_name", *schema.KEY).limit(limit)
 
 
+def page_bodies(pages: DataFrame) -> DataFrame:
+    """url_key, text, payload and ``mark``, which names one of the copies of a page."""
+    blank = F.lit(None).cast("string")
+    markdown = F.col("markdown") if "markdown" in pages.columns else blank
+    payload = F.col("payload") if "payload" in pages.columns else blank
+    text = page_text(markdown, F.col("html"))
+    bodies = pages.select(trim_slash(F.col("url")).alias("url_key"), text.alias("text"), payload.alias("payload"))
+    return bodies.where(present(F.col("text"))).withColumn("mark", F.xxhash64("text", "payload"))
+
+
 def candidate_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
-    """The first candidate URLs of each target that exist, with their contacts.
+    """The candidate URLs of each site that exist: site, pos, url_key, mark and the contacts found there.
 
-    Only pages some target asks for pass the first join; copies of a page fold
-    into one before pages and targets meet.
+    Contacts are taken where a page is scanned, so what moves are addresses and numbers.
+    Spark's runtime filter keeps pages that no target asks for from being searched.
     """
-    keyed = targets.withColumn("site", F.trim("website")).select(*schema.KEY, "college_name", "site")
-    urls = guessed_urls(keyed.select("site").distinct(), vocab.FILL_PATHS)
+    urls = guessed_urls(_sites(targets).select("site").distinct(), vocab.FILL_PATHS)
     wanted = urls.select("site", "pos", trim_slash(F.col("url")).alias("url_key"))
-    blank = F.lit(None).cast("string")
-    markdown = F.col("markdown") if "markdown" in pages.columns else blank
-    payload = F.col("payload") if "payload" in pages.columns else blank
-    bodies = (
-        pages.select(
-            trim_slash(F.col("url")).alias("url_key"),
-            page_text(markdown, F.col("html")).alias("text"),
-            payload.alias("payload"),
-        )
-        .where(present(F.col("text")))
-        .join(wanted.select("url_key").distinct(), "url_key", "left_semi")
-        .groupBy("url_key")
-        .agg(F.max(F.struct("text", "payload")).alias("body"))
+    text, payload = F.col("text"), F.col("payload")
+    finds = page_bodies(pages).select(
+        "url_key", "mark",
+        F.array_distinct(F.concat(payload_emails(payload), emails_in_text(text))).alias("emails"),
+        F.array_distinct(F.concat(payload_phones(payload), phones_in_text(text))).alias("phones"),
     )
-    read = bodies.select(
-        "url_key",
-        F.col("body.text").alias("text"),
-        F.array_distinct(F.concat(
-            payload_emails(F.col("body.payload")), emails_in_text(F.col("body.text"))
-        )).alias("emails"),
-        F.array_distinct(F.concat(
-            payload_phones(F.col("body.payload")), phones_in_text(F.col("body.text"))
-        )).alias("phones"),
+    read = (
+        finds.join(wanted.select("url_key").distinct(), "url_key", "left_semi")
+        .groupBy("url_key").agg(F.max(F.struct("mark", "emails", "phones")).alias("f")).select("url_key", "f.*")
     )
-    return wanted.join(read, "url_key").join(keyed, "site")
+    return wanted.join(read, "url_key")
 
 
-def page_verdicts(found: DataFrame) -> DataFrame:
-    """Ownership per candidate page; the text stops here."""
-    return found.select(
-        *schema.KEY, "college_name", "site", "pos", "emails", "phones",
-        owns_page(F.col("text"), F.col("college_name"), F.col("site")).alias("owned"),
-    )
+def _sites(targets: DataFrame) -> DataFrame:
+    return targets.withColumn("site", F.trim("website")).select(*schema.KEY, "college_name", "site")
+
+
+def owned_sites(targets: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Whether the first existing page of each target's site names the target.
+
+    Only the texts of first pages meet targets; other texts stay at their scan.
+    """
+    first = found.groupBy("site").agg(F.min_by(F.struct("url_key", "mark"), "pos").alias("p")).select("site", "p.*")
+    texts = page_bodies(pages).select("url_key", "mark", "text").join(first.select("url_key", "mark").distinct(), ["url_key", "mark"], "left_semi")
+    one = texts.dropDuplicates(["url_key", "mark"])
+    asked = _sites(targets).join(first, "site").join(one, ["url_key", "mark"])
+    return asked.select(*schema.KEY, owns_page(F.col("text"), F.col("college_name"), F.col("site")).alias("owned"))
 
 
 def fill_contacts(targets: DataFrame, pages: DataFrame) -> DataFrame:
@@ -76,18 +79,19 @@ def fill_contacts(targets: DataFrame, pages: DataFrame) -> DataFrame:
     Pages are read in candidate order. The first page decides whether the site
     is the organisation's own; reading stops after the page with which both an
     address and a number are known. Addresses on the site's own domain come
-    first, then placement addresses, then first seen. At most four pages per
-    organisation take part, so the per-organisation lists stay small.
+    first, then placement addresses, then first seen. At most five pages per
+    site take part, so the per-site lists stay small; organisations that share a
+    site share its list.
     """
-    by_pos = page_verdicts(candidate_pages(targets, pages)).groupBy(*schema.KEY).agg(
-        F.min_by("owned", "pos").alias("owned"),
-        F.first("site").alias("site"),
+    found = cut_lineage(candidate_pages(targets, pages))
+    per_site = found.groupBy("site").agg(
         # First page with an address, first page with a number: reading goes on
         # until the later of the two.
         F.min(F.when(F.size("emails") > 0, F.col("pos"))).alias("email_from"),
         F.min(F.when(F.size("phones") > 0, F.col("pos"))).alias("phone_from"),
         F.array_sort(F.collect_list(F.struct("pos", "emails", "phones"))).alias("read"),
     )
+    by_pos = _sites(targets).join(per_site, "site").join(owned_sites(targets, found, pages), list(schema.KEY))
     stop = F.when(
         F.col("email_from").isNotNull() & F.col("phone_from").isNotNull(),
         F.greatest("email_from", "phone_from"),
@@ -131,13 +135,15 @@ def fill_contacts(targets: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def fill_report(targets: DataFrame, fills: DataFrame) -> DataFrame:
-    """Targets, targets with a find, and targets whose site was not confirmed."""
+def fill_report(targets: DataFrame, fills: DataFrame, *, written: bool = False) -> DataFrame:
+    """Targets, targets with a find, targets whose site was not confirmed, and finds that went into the store."""
     joined = targets.select(*schema.KEY).join(fills, list(schema.KEY), "left")
+    found = F.count_if(F.col("email").isNotNull() | F.col("phone").isNotNull())
     return joined.agg(
         F.count(F.lit(1)).alias("targets"),
-        F.count_if(F.col("email").isNotNull() | F.col("phone").isNotNull()).alias("found"),
+        found.alias("found"),
         F.count_if(~F.coalesce("site_verified", F.lit(False))).alias("unverified"),
+        (found if written else F.lit(0).cast("bigint")).alias("written"),
     )
 
 

@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rosterlake import schema, vocab
-from rosterlake.functions import emails, payloads, text
-from rosterlake.operators import channels, contacts, crawl, growth, ledger, matching, places, roster as views
+from rosterlake.functions import emails, html, payloads, text, urls
+from rosterlake.operators import channels, contacts, crawl, growth, ledger, matching, places, roster as views, sites
+from rosterlake.plans import fill
 from rosterlake.plans.importer import ImportPlan, plan_import
 from rosterlake.plans.seeds import merged_seeds
 from rosterlake.registered import _pick, _table, roster
@@ -296,6 +297,106 @@ def org_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.by_keys(rows, keys).select("college_name", *schema.KEY, "website", "status")
 
 
+def _fill_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as targets with a site each, and its pages: some name their owner, some another one, some are missing."""
+    k, site = F.col("k"), F.concat(F.lit("https://"), F.lower("segment"), F.col("k"), F.lit(".ac.in"))
+    orgs = _customers(spark, sf_dir).select(
+        F.concat(F.initcap("segment"), F.lit(" College of number "), k).alias("college_name"), F.col("name").alias("normalized_name"), "district",
+        _pick(k, vocab.STREAMS).alias("stream"), site.alias("website"), k, F.col("segment"),
+    )
+    at, place = F.col("o_orderkey"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("path")) for i, p in enumerate(vocab.FILL_PATHS)]))
+    newest = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    shown = orgs.join(newest, "k").withColumn("p", place).where((at + F.col("p.i")) % 3 != 0)
+    owner = F.when(at % 4 == 0, "Another house").otherwise(F.col("college_name"))
+    mail = F.when((at + F.col("p.i")) % 2 == 0, F.concat(F.lit("mail tpo"), k, F.lit("@gmail.com or office@"), F.lower("segment"), k, F.lit(".ac.in"))).otherwise("")
+    call = F.when(F.col("p.i") == at % 5, F.concat(F.lit(" call 98450 "), F.lpad((k % 90000).cast("string"), 5, "1"))).otherwise("")
+    html = F.concat(F.lit("<p>Welcome to "), owner, F.lit("</p> "), mail, call, F.lit("."))
+    return orgs.drop("k", "segment"), shown.select(F.concat("website", "p.path").alias("url"), html.alias("html"))
+
+
+def fill_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = fill.fill_contacts(*_fill_inputs(spark, sf_dir))
+    return found.select("normalized_name", "site_verified", "pages_tried", "email", F.array_join("extra_emails", " ").alias("more"), "phone")
+
+
+# --- sites of organisations, views and checks ---------------------------------
+
+_RESULT_PATHS = ("/", "", "/colleges/all", "/about", "/search-page")
+
+
+def _site_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as institutes, their orders as search results on hosts that resemble the name more or less."""
+    orgs = _customers(spark, sf_dir).select(F.col("k").alias("org_id"), F.concat(F.initcap("segment"), F.lit(" Institute of Technology")).alias("college_name"), "segment")
+    at, word = F.col("o_orderkey"), F.lower("segment")
+    short, n = F.concat(F.substring(word, 1, 1), F.lit("it")), (F.col("o_orderkey") % 50).cast("string")
+    hosts = [
+        F.concat(word, F.lit(".ac.in")), F.concat(F.lit("www."), short, F.lit(".edu.in")), F.concat(short, F.lit("-"), n, F.lit(".org")), F.concat(F.lit("x"), short, F.lit(".com")),
+        F.lit("www.collegedunia.com"), F.concat(F.lit("admission"), n, F.lit(".in")), F.concat(word, F.lit("-list.net")), F.concat(F.lit("p"), n, F.lit(".example")),
+    ]
+    host = F.element_at(F.array(*hosts), (at % len(hosts) + 1).cast("int"))
+    title = F.when(at % 3 == 0, "").when(at % 3 == 1, F.concat(F.lit("The "), F.initcap("segment"), F.lit(" site"))).otherwise("Home")
+    found = _table(spark, sf_dir, "orders").join(orgs, F.col("o_custkey") == F.col("org_id"))
+    results = found.select("org_id", at.alias("rank"), F.concat(F.lit("https://"), host, _pick(F.floor(at / 8), _RESULT_PATHS)).alias("url"), title.alias("title"))
+    return orgs.drop("segment"), results
+
+
+def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.score_candidates(*_site_results(spark, sf_dir)).select("org_id", "rank", "domain", "score")
+
+
+def chosen_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best site of each institute, below the threshold none."""
+    return sites.best_sites(sites.score_candidates(*_site_results(spark, sf_dir))).select("org_id", "url", "score")
+
+
+def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", urls.domain_of(url).alias("domain"), urls.is_blocked(url).alias("blocked"), urls.is_authoritative(url).alias("authoritative"), urls.is_aggregator(url).alias("aggregator")
+    )
+
+
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that headings and links of pages could hold."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.candidate_names(F.col("html"))).alias("place", "name"))
+
+
+def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as cells: how many hold something, and how long they are once cleaned."""
+    cells = F.transform(F.split("text", "\n"), text.clean_cell)
+    kept = F.filter(cells, lambda c: c.isNotNull())
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(kept).alias("n_cells"), F.length(F.array_join(kept, "")).alias("n_chars"))
+
+
+def admin_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of the sorted admin view."""
+    rows = views.admin_view(roster(spark, sf_dir), sort="state", direction="desc", limit=60, offset=30)
+    return rows.select("college_name", "state", "stream")
+
+
+def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten runs that began last; users as runs, their events as run events."""
+    at = F.col("event_id")
+    told = _table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), at.alias("seq"), F.col("ts").alias("at"), F.lit("S").alias("state"), F.lit("BCA").alias("stream"), F.lit("running").alias("status"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("total_colleges", "processed", "succeeded", "failed")], F.lit(None).cast("string").alias("notes"),
+    )
+    return ledger.recent_runs(ledger.current_runs(told), 10).select("run_id", "processed", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"))
+
+
+def checked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roster rows with checked addresses, numbers from a table of places and the status that follows."""
+    rows = roster(spark, sf_dir).withColumn("email_verified", F.lit(False)).drop("status")
+    checks = _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("placement"), "o_custkey", F.lit("@example.org")).alias("email"), (F.col("o_orderkey") % 7 == 0).alias("deliverable"),
+        F.lit(None).cast("boolean").alias("valid"), F.when(F.col("o_orderstatus") == "F", "valid").otherwise("risky").alias("status"),
+    )
+    places_ = _customers(spark, sf_dir).where(F.col("k") % 2 == 0).select(F.upper("name").alias("name"), F.col("district").alias("place"), F.col("k").alias("pos"), F.concat(F.lit(" 080 "), F.col("k")).alias("phone"))
+    done = contacts.fill_from_places(contacts.verify_emails(rows, checks), places_)
+    return done.select("college_name", "email_verified", "fallback_contact_phone", contacts.run_status().alias("status"))
+
+
 # --- payloads ----------------------------------------------------------------
 
 def _hex(value: Column) -> Column:
@@ -345,6 +446,7 @@ QUERIES = {
     for f in (
         contact_files, import_report, streamed_runs, best_first_pages, all_site_pages, page_budget, contact_scores, site_contacts, leading_contacts,
         name_keys, listing_names, names_in_state, seed_merge, seed_sources, channel_yield, staged_match, match_report, snapshot_changes, org_lookup,
+        fill_finds, site_scores, chosen_sites, page_classes, page_names, document_cells, admin_page, recent_runs, checked_results,
         cfemail_recover, payload_contacts, table_seeds,
     )
 }
@@ -504,7 +606,67 @@ _MATCH = _CUSTOMERS + f"""
 )
 """
 
+_SITES = _CUSTOMERS + f"""
+, found as (
+  select k as org_id, o_orderkey as rank, lower(segment) as word, lower(segment)[1] || 'it' as short, o_orderkey % 50 as n, o_orderkey % 8 as h,
+    {_chosen("(o_orderkey // 8)", _RESULT_PATHS)} as path, case o_orderkey % 3 when 1 then lower(segment) else '' end as titled
+  from orders join customers on o_custkey = k
+), hosted as (
+  select *, ([word || '.ac.in', 'www.' || short || '.edu.in', short || '-' || n || '.org', 'x' || short || '.com', 'www.collegedunia.com', 'admission' || n || '.in', word || '-list.net', 'p' || n || '.example'])[h + 1] as host
+  from found
+), named as (
+  select *, regexp_replace(host, '^www\\.', '') as domain, regexp_replace(split_part(regexp_replace(host, '^www\\.', ''), '.', 1), '[^a-z]', '', 'g') as label from hosted
+), signs as (
+  select *, contains(label, word) as by_name, not contains(label, word) and contains(label, short) as inside, titled = word as by_title,
+    regexp_matches(domain, '({_words(vocab.EDU_TLDS)})$') as edu from named
+), scored as (
+  select *, case when regexp_matches(domain, '(^|\\.)({_words(vocab.BLOCKED_DOMAINS)})$') then 0 else
+    greatest(0, least(case when by_name or by_title or inside and starts_with(label, short) then 100 else {vocab.MIN_SITE_SCORE - 1} end,
+      case when regexp_matches(domain, '{_words(vocab.AGGREGATOR_DOMAIN_WORDS)}') then -15 else 0 end + case when edu then 40 when regexp_matches(domain, '({_words(vocab.WEAK_TLDS)})$') then 10 else 0 end
+      + case when by_name then 35 when inside and starts_with(label, short) then 30 when inside then 5 else 0 end
+      + case when regexp_matches(path, '(?i){vocab.LISTING_PATH}') then -20 else 0 end + case when path in ('', '/') then 10 else 0 end + case when by_title then 15 else 0 end)) end::int as score
+  from signs
+)
+"""
+_SPACES = r"[\s\x0B\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 ORACLES = {
+    "site_scores": _SITES + "select org_id, rank, domain, score from scored",
+    "chosen_sites": _SITES + f"""
+        select org_id, 'https://' || host || path as url, score from (select *, row_number() over (partition by org_id order by score desc, rank) as place from scored)
+        where place = 1 and score >= {vocab.MIN_SITE_SCORE}""",
+    "page_classes": f"""
+        with u as (select page_id, lower(url) as url from pages), d as (select *, regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), '^www\\.', '') as domain from u)
+        select page_id, domain, regexp_matches(domain, '(^|\\.)({_words(vocab.BLOCKED_DOMAINS)})$') as blocked,
+          not regexp_matches(url, '{_words(vocab.NON_AUTHORITATIVE)}') and (regexp_matches(url, '{_words(vocab.AUTHORITATIVE_DOMAINS)}')
+            or regexp_matches(url, '{_words(vocab.OFFICIAL_TLDS)}') and regexp_matches(url, '{_words(vocab.LISTING_HINTS)}')) as authoritative,
+          regexp_matches(url, '{_words(vocab.AGGREGATOR_HOSTS)}') as aggregator
+        from d""",
+    "page_names": f"""
+        with raw as (select page_id, unnest(regexp_extract_all(html, '{vocab.NAME_MARKUP}', 1)) as f, generate_subscripts(regexp_extract_all(html, '{vocab.NAME_MARKUP}', 1), 1) as pos from pages
+        ), plain as (
+          select page_id, pos, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(f, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&nbsp;', ' '), '&#039;', chr(39)), '&quot;', '"'), '{_SPACES}', ' ', 'g')) as name from raw
+        )
+        select page_id, (row_number() over (partition by page_id order by pos) - 1)::int as place, name from plain where length(name) between 8 and 120""",
+    "document_cells": f"""
+        with cells as (
+          select doc_id, line, trim(regexp_replace(line, '{_SPACES}', ' ', 'g')) as cell from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+        ), kept as (select * from cells where not list_contains({_list(vocab.PLACEHOLDERS)}, lower(cell)) and not list_contains({_list(vocab.READER_NULLS)}, line))
+        select d.doc_id, coalesce(n, 0)::int as n_cells, coalesce(m, 0)::int as n_chars from documents d left join (select doc_id, count(*) as n, sum(length(cell)) as m from kept group by doc_id) using (doc_id)""",
+    "admin_page": f"""
+        select c_name as college_name, n_name as state, {_chosen("c_custkey", vocab.STREAMS)} as stream from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+        order by n_name desc, lower(c_name), r_name, stream limit 60 offset 30""",
+    "recent_runs": "select user_id::varchar as run_id, 0::bigint as processed, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as started from events group by 1 order by started desc, run_id desc limit 10",
+    "checked_results": _CUSTOMERS + """
+        , r as (
+          select c_custkey as k, c_name, case c_custkey % 3 when 0 then 'placement' || c_custkey || '@example.org' when 1 then '' end as email, c_acctbal > 0 as called,
+            case when c_custkey % 4 = 0 then 'info' || c_custkey || '@example.org' end as other, case when c_custkey % 5 = 0 then '97' || lpad(c_custkey::varchar, 8, '0') else '' end as backup
+          from customer
+        ), filled as (select *, case when not called and backup = '' and k % 2 = 0 then '080 ' || k else backup end as phone from r
+        ), good as (select 'placement' || o_custkey || '@example.org' as email from orders where o_orderkey % 7 = 0 or o_orderstatus = 'F' group by 1)
+        select c_name as college_name, coalesce(email, other) in (select email from good) and coalesce(email, other) is not null as email_verified, phone as fallback_contact_phone,
+          case when email <> '' and called then 'Verified' when email <> '' or called or other <> '' or phone <> '' then 'Needs Follow-up' else 'Failed' end as status
+        from filled""",
     "contact_files": _CONTACTS + "select * from rows_",
     "import_report": _CONTACTS + """
         , taken as (select *, placement_email is not null and placement_phone is not null as complete from rows_ where reject is null)
@@ -630,6 +792,22 @@ ORACLES = {
         select c_name as college_name, lower(c_name) as normalized_name, r_name as district, {_chosen("c_custkey", vocab.STREAMS)} as stream,
           'https://org' || c_custkey || '.example.org' as website, {_chosen("c_custkey", vocab.STATUSES)} as status
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_name in (select replace(s_name, 'Supplier', 'Customer') from supplier)""",
+    "fill_finds": _CUSTOMERS + f"""
+        , orders_ as (select o_custkey as k, max(o_orderkey) as o from orders group by 1
+        ), shown as (
+          select c.k, c.name, lower(segment) as word, o, i, (o + i) % 2 = 0 as has_mail, i = o % 5 as has_call
+          from customers c join orders_ using (k), range({len(vocab.FILL_PATHS)}) r(i) where (o + i) % 3 <> 0
+        ), sites as (
+          select k, name, word, any_value(o) % 4 <> 0 as named, min(i) as first, min(i) filter (has_mail) as mail_from, min(i) filter (has_call) as call_from from shown group by k, name, word
+        ), used as (
+          select s.*, h.i, h.has_mail, h.has_call from sites s join shown h using (k) where h.i <= case when mail_from is not null and call_from is not null then greatest(mail_from, call_from) else {len(vocab.FILL_PATHS)} end
+        ), told as (
+          select name, word, k, bool_and(named or coalesce(mail_from = first, false)) as owned, count(*) as pages, bool_or(has_mail) as mail, bool_or(has_call) as call from used group by name, word, k
+        )
+        select name as normalized_name, owned as site_verified, (case when owned then pages else 1 end)::int as pages_tried,
+          case when owned and mail then 'office@' || word || k || '.ac.in' end as email, case when owned and mail then 'tpo' || k || '@gmail.com' else '' end as more,
+          case when owned and call then '+91-98450' || lpad((k % 90000)::varchar, 5, '1') end as phone
+        from told""",
     "cfemail_recover": "select c_custkey, lower(c_mktsegment) || '+' || c_custkey || '@org.ac.in' as email from customer",
     "payload_contacts": """
         with raw as (
