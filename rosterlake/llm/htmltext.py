@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -48,12 +50,20 @@ IMPLIED = {
 }
 #: What a p can't hold, so that its start ends an open p.
 _ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup"}
-_UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_UNSEEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: Unlike ``display``, which takes a whole element away, visibility is inherited, and a part may be shown again.
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 #: A tag that the end of the page cuts off is no text.
 _CUT_TAG = re.compile(r"<[A-Za-z/][^<>]*\Z")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+def _span(given: str | None, most: int) -> int:
+    """A number of columns or rows as browsers read it: 1 where it says nothing useful."""
+    digits = re.match(r"\s*(\d{1,9})", given or "")
+    return min(max(int(digits[1]), 1), most) if digits else 1
+
+
 def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
@@ -120,16 +130,87 @@ class _Flow:
         return self.lines
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Cells side by side, padded to the width of their column, two blanks apart."""
-    rows = [r for r in rows if any(r)]
-    columns = max((len(r) for r in rows), default=0)
-    widths = [max((_width(x) for r in rows if c < len(r) for x in r[c]), default=0) for c in range(columns)]
-    out = []
+class _Cell:
+    """Lines of a table cell and how many columns and rows it spans."""
+
+    __slots__ = ("lines", "columns", "rows")
+
+    def __init__(self, lines: list[str], columns: int = 1, rows: int = 1):
+        self.lines, self.columns, self.rows = lines, columns, rows
+
+
+#: Widest column that cells are padded to; and what a row may take in padding: so many characters, and so many times its text.
+WIDEST, FREE_PADDING, MOST_PADDING = 120, 2000, 8
+
+
+def _placed(rows: list[list[_Cell]]) -> list[list[tuple[int, _Cell]]]:
+    """The column that each cell begins in: the first that no cell to the left or from above takes."""
+    out, above = [], []  # above: (first column, column behind, rows left), in order
     for row in rows:
-        for k in range(max(map(len, row))):
-            cells = [(cell[k] if k < len(cell) else "") for cell in row]
-            out.append("  ".join(x + " " * (widths[c] - _width(x)) for c, x in enumerate(cells)).rstrip())
+        taken, column, here = iter([*above, (1 << 30, 1 << 30, 0)]), 0, []
+        first, behind, _ = next(taken)
+        down = []
+        for cell in row:
+            while column + 1 > first:
+                column = max(column, behind)
+                first, behind, _ = next(taken)
+            here.append((column, cell))
+            if cell.rows > 1:
+                down.append((column, column + cell.columns, cell.rows - 1))
+            column += cell.columns
+        out.append(here)
+        above = _merged(sorted([(f, b, n - 1) for f, b, n in above if n > 1] + down))
+    return out
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbours that end with the same row as one."""
+    out: list[tuple[int, int, int]] = []
+    for f, b, n in spans:
+        if out and out[-1][1] == f and out[-1][2] == n:
+            f = out.pop()[0]
+        out.append((f, b, n))
+    return out
+
+
+def _table(rows: list[list[_Cell]]) -> list[str]:
+    """Cells side by side, two blanks apart, each at the place of its column.
+
+    Columns are as wide as their widest line, ``WIDEST`` at most; longer lines push what
+    follows in their row aside. A cell that spans columns widens the last of them if need
+    be. A row that would take far more padding than text has its cells one below
+    the other instead, so that the text of a page stays in proportion to the page.
+    """
+    placed = [here for here in _placed(rows) if any(c.lines for _, c in here)]
+    starts = sorted({column for here in placed for column, _ in here})
+    place = {column: k for k, column in enumerate(starts)}
+    widths, wide = [0] * len(starts), []
+    spans = [[(place[column], bisect.bisect_left(starts, column + cell.columns), cell) for column, cell in here] for here in placed]
+    for here in spans:
+        for k, behind, cell in here:
+            width = min(WIDEST, max(map(_width, cell.lines), default=0))
+            if behind - k > 1:
+                wide.append((k, behind, width))
+            else:
+                widths[k] = max(widths[k], width)
+    for k, behind, width in wide:
+        widths[behind - 1] = max(widths[behind - 1], width - sum(widths[k : behind - 1]) - 2 * (behind - k - 1))
+    offsets = [0, *itertools.accumulate(w + 2 for w in widths)]
+    out = []
+    for here in spans:
+        full = [(k, cell) for k, _, cell in here if cell.lines]
+        height = max(len(cell.lines) for _, cell in full)
+        if height * offsets[full[-1][0]] > FREE_PADDING + MOST_PADDING * sum(len(x) for _, cell in full for x in cell.lines):
+            out += [x for _, cell in full for x in cell.lines]
+            continue
+        for n in range(height):
+            line, at = [], 0
+            for k, cell in full:
+                if n < len(cell.lines) and cell.lines[n]:
+                    gap = max(offsets[k] - at, 2 if line else 0)
+                    line.append(" " * gap + cell.lines[n])
+                    at += gap + _width(cell.lines[n])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -139,16 +220,20 @@ class _Renderer(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         #: (tag, unseen, preformatted); sums over the stack beside it.
-        self.open: list[tuple[str, bool, bool]] = []
-        self.unseen = self.pre = 0
+        self.open: list[tuple[str, int, bool]] = []
+        #: Beside the stack: whether an element is laid out, and how many hidden visibilities hold outside it.
+        self.beside: list[tuple[bool, int]] = []
+        self.unseen = self.pre = self.veils = 0
         self.count: dict[str, int] = {}
         self.flows = [_Flow()]
-        self.tables: list[list[list[list[str]]]] = []
+        self.tables: list[list[list[_Cell]]] = []
+        #: Columns and rows that the open cells span.
+        self.spans: list[tuple[int, int]] = []
         self.numbers: list[int | None] = []
         self.in_cell: list[bool] = []
-        #: Open selects that show one option: its text (None: hidden); and whether it is being read.
-        self.shown: list[list[str] | None] = []
-        self.picking = False
+        #: Open selects that show one option: whether hidden, the text of the selected one and of the first; and the one being read.
+        self.shown: list[list] = []
+        self.picking: list[str] | None = None
 
     @property
     def flow(self) -> _Flow:
@@ -164,17 +249,19 @@ class _Renderer(HTMLParser):
         self.flow.space |= bool(self.flow.line)
 
     def _choice(self, tag: str, given: dict, hidden: bool) -> bool:
-        """Whether a part of a select is out of sight; a list of options shows all, another select the one selected."""
+        """Whether a part of a select is out of sight; a list of options shows all, another select the one selected or else the first."""
         label = given.get("label") or ""
         if tag == "select":
             size = given.get("size") or ""
             if "multiple" in given or re.fullmatch(r"\d{1,9}", size) and int(size) > 1:
                 return hidden
-            self.shown.append(None if hidden else [])
+            self.shown.append([hidden, None, None])
             return True
-        if tag == "option" and self._in_drop_down() and "selected" in given and not hidden and self.shown[-1] is not None:
-            self.shown[-1] = [label]
-            self.picking = not label
+        if tag == "option" and self._in_drop_down():
+            place = 1 if "selected" in given else 2 if self.shown[-1][2] is None and "disabled" not in given else 0
+            if place and not hidden:
+                self.picking = self.shown[-1][place] = [label] if label else []
+                self.picking = None if label else self.picking
         elif not self.unseen and not hidden and label and self.count.get("select"):
             self.flow.end_line()
             self.flow.words(label)
@@ -205,7 +292,9 @@ class _Renderer(HTMLParser):
             unseen |= foreign == "svg" and (given.get("visibility") or "").strip() in ("hidden", "collapse")
         if tag in ("select", "option", "optgroup"):
             unseen = self._choice(tag, given, unseen)
-        seen = not self.unseen and not unseen
+        veiled = [x.lower() != "visible" for x in _VISIBILITY.findall(given.get("style") or "")][-1:]
+        weight = int(unseen) + (1 if veiled == [True] else -self.veils if veiled == [False] and tag != "select" else 0)
+        seen = not self.unseen + weight
         if seen and foreign and (self.open[-1][0] in _APART or tag == "text" or tag == "tspan" and given.keys() & {"x", "y", "dx", "dy"}):
             self._apart()
         if tag in VOID:
@@ -218,9 +307,11 @@ class _Renderer(HTMLParser):
             elif seen and tag == "img" and (given.get("alt") or "").strip():
                 self.flow.words(given["alt"])
             return
-        self.open.append((tag, unseen, tag in ("pre", "textarea")))
+        self.open.append((tag, weight, tag in ("pre", "textarea")))
+        self.beside.append((seen, self.veils))
+        self.veils = self.veils + 1 if veiled == [True] else 0 if veiled == [False] else self.veils
         self.count[tag] = self.count.get(tag, 0) + 1
-        self.unseen += unseen
+        self.unseen += weight
         self.pre += tag in ("pre", "textarea")
         if seen:
             self._enter(tag, given)
@@ -234,6 +325,7 @@ class _Renderer(HTMLParser):
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self.flows.append(_Flow())
+            self.spans.append((_span(given.get("colspan"), 1000), _span(given.get("rowspan"), 65534)))
             self.in_cell[-1] = True
         elif tag in ("ul", "ol", "menu"):
             self.flow.end_line(blank=not self.numbers)
@@ -265,7 +357,7 @@ class _Renderer(HTMLParser):
             self.flow.block(_table(rows))
         elif tag in ("td", "th") and self.tables and self.tables[-1] and self.in_cell[-1]:
             self.in_cell[-1] = False
-            self.tables[-1][-1].append(self.flows.pop().done())
+            self.tables[-1][-1].append(_Cell(self.flows.pop().done(), *self.spans.pop()))
         elif tag in ("ul", "ol", "menu") and self.numbers:
             self.numbers.pop()
             self.flow.end_line(blank=not self.numbers)
@@ -285,16 +377,18 @@ class _Renderer(HTMLParser):
 
     def _pop(self) -> None:
         tag, unseen, pre = self.open.pop()
+        seen, self.veils = self.beside.pop()
         self.count[tag] -= 1
         self.unseen -= unseen
         self.pre -= pre
         if tag == "option":
-            self.picking = False
-        if not self.unseen and not unseen:
+            self.picking = None
+        if seen:
             self._leave(tag)
         if tag == "select" and unseen and self.shown:
-            text = "".join(self.shown.pop() or ())
-            if not self.unseen and text.strip():
+            choice = self.shown.pop()
+            text = "".join(choice[1] if choice[1] is not None else choice[2] or ())
+            if not choice[0] and not self.unseen and text.strip():
                 self._apart()
                 self.flow.words(text)
                 self._apart()
@@ -332,8 +426,8 @@ class _Renderer(HTMLParser):
             self._close({tag}, borders)
 
     def handle_data(self, data: str) -> None:
-        if self.picking:
-            self.shown[-1].append(data)
+        if self.picking is not None:
+            self.picking.append(data)
         if self.unseen or self.count.get("svg") and not self.count.get("text") and self._foreign() == "svg":
             return
         if self.tables and not self.in_cell[-1]:
@@ -367,10 +461,11 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     video for readers that lack them), the ``hidden`` attribute, inline ``display: none`` and ``visibility: hidden``, closed dialogs,
     and comments. Blocks stand on lines of their own, paragraphs a blank line apart;
     list entries get bullets or numbers and are indented by depth; table cells are
-    padded to their column's width; preformatted text keeps its blanks. Formulas give
+    padded to their column's width, spans included, as far as padding stays in proportion; preformatted text keeps its blanks. Formulas give
     the text of their signs, without annotations; drawings that of their text elements
     (not what only a ``use`` draws); lists of options all options, other selects the one
-    marked ``selected`` (none is shown where none is marked).
+    marked ``selected``, or else the first that isn't disabled. What is made visible inside a hidden
+    visibility is shown.
 
     Null html gives a null text, empty html an empty one; repeated rows repeat; null
     ids stay; other columns aren't looked at. Row-local, no shuffle.

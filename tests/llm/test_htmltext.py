@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from rosterlake.llm import htmltext
@@ -16,7 +18,7 @@ CASES = [
     ("</div></b>x</p>y<i>z", "x\n\nyz"),
     ("<img alt='A cat'> <input value=no><button>Go</button>", "A cat Go"),
     ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
-    ("<select><option>a<option>b</select><noscript>no</noscript>t", "t"),
+    ("<select><option>a<option>b</select><noscript>no</noscript>t", "a t"),
     ("", ""), ("plain < text & more", "plain < text & more"), ("<", "<"), ("<p", ""),
     ("<table><tr><td>日本<td>x<tr><td>ab<td>y</table>", "日本  x\nab    y"),
 ]
@@ -55,3 +57,53 @@ def test_rows(spark):
     got = sorted(((r.page_id or 0, r.text) for r in htmltext.page_texts(pages).collect()), key=str)
     assert got == sorted([(1, None), (2, ""), (3, "a"), (3, "a"), (0, "b")], key=str)
     assert htmltext.page_texts(pages.limit(0)).count() == 0
+
+
+SPANS = [
+    ("<table><tr><th>A<th colspan=2>B<th>C<tr><td>1<td>22<td>333<td>4444</table>", "A  B        C\n1  22  333  4444"),
+    ("<table><tr><td rowspan=2>top<td>x<tr><td>y<tr><td>z<td>w</table>", "top  x\n     y\nz    w"),
+    ("<table><tr><td>a<td rowspan=2>tall<td>b<tr><td>c<td>d</table>", "a  tall  b\nc        d"),
+    ("<table><tr><td colspan=3>A long heading<tr><td>1<td>2<td>3</table>", "A long heading\n1  2  3"),
+    ("<table><tr><td colspan=2>A long heading<td>end<tr><td>1<td>2<td>3</table>", "A long heading  end\n1  2            3"),
+    ("<table><tr><td colspan=0>a<td rowspan=x>b<tr><td colspan=99999999999>c<tr><td>d<td>e</table>", "a  b\nc\nd  e"),
+    ("<table><tr><td colspan=1000 rowspan=9>a<td>b<tr><td>c</table>", "a  b\n   c"),
+]
+SEEN = [
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>too</b></p>no</div>z", "yestoo\n\nz"),
+    ("<div style='visibility:hidden'><div style='display:none'><i style='visibility:visible'>no</i></div><i style='visibility:visible'>a<b style='visibility:collapse'>no<u style='visibility:visible'>b</u></b></i></div>", "ab"),
+    ("<div hidden><p style='visibility:visible'>no</div>x", "x"),
+    ("<select><option disabled>no<option>first<option>no</select>", "first"), ("<select><option label=L>no</select>", "L"), ("<select></select>x", "x"),
+    ("<div style='visibility:hidden'><select style='visibility:visible'><option>no</select></div>x", "x"),
+]
+
+
+@pytest.mark.parametrize("html, text", SPANS + SEEN)
+def test_spans_and_visibility(html, text):
+    assert htmltext.visible_text(html) == text
+
+
+def plain_layout(rows):
+    """Every column as wide as its widest cell, two blanks apart."""
+    widths = [max((len(r[c]) for r in rows if c < len(r)), default=0) for c in range(max(map(len, rows)))]
+    return "\n".join("  ".join(x + " " * (widths[c] - len(x)) for c, x in enumerate(r)).rstrip() for r in rows if any(r))
+
+
+def test_random_tables_equal_brute_force():
+    rnd = random.Random(4)
+    for _ in range(200):
+        rows = [["w" * rnd.choice([0, 1, 3, 9]) for _ in range(rnd.randrange(1, 6))] for _ in range(rnd.randrange(1, 7))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in rows) + "</table>"
+        assert htmltext.visible_text(html) == plain_layout(rows)
+
+
+@pytest.mark.parametrize("html", [
+    "<table><tr><td>" + "wide " * 40_000 + "<td>x" + "<tr><td>a<td>b" * 5_000 + "</table>",
+    "<table><tr><td>" + "<br>line" * 20_000 + "<td>x" * 5_000 + "<td>" + "<br>y" * 20_000 + "</table>",
+    "<table>" + "<tr><td>" + "<td>" * 400 + "z" + "<tr>" + "<td>" + "m" * 100 + "</table>",
+    "<table>" + "".join("<tr>" + "<td>" * i + "w" * 110 for i in range(300)) + "</table>",
+])
+def test_text_stays_in_proportion_to_the_page(html):
+    text = htmltext.visible_text(html)
+    assert len(text) <= 30 * len(html) + 3000
+    for word in ("wide", "line", "w" * 110, "z"):
+        assert text.count(word) == html.count(word) if f">{word}" in html or f"{word} " in html else True
