@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame
 from rosterlake.llm.common import arrow_map, keyed
 
 SPACE = "▁"
-#: Characters segmented at once; only a longer run without a blank is taken whole.
-BLOCK_CHARS = 1 << 19
+#: Characters segmented at once. A run of more than ``LONG_RUN`` characters without a blank goes by blocks of ``LONG_BLOCK``.
+BLOCK_CHARS, LONG_RUN, LONG_BLOCK = 1 << 19, 1 << 18, 1 << 16
+#: Ids decoded at once.
+_DECODED = 1 << 16
 #: Piece scores are multiplied by this; smaller values sample more freely.
 SHARPNESS = 2e-4
 #: Log weight of a byte where no piece fits, and what counts as excluded from sampling.
@@ -161,9 +164,8 @@ class PieceModel:
         rows = np.concatenate(rows)
         order = np.argsort(-rows, kind="stable")[::-1]
         rows, ids, chars = rows[order], np.concatenate(ids)[order], np.concatenate(chars)[order]
-        spelled = {ord(SPACE): b" ", ord(_OWN_MARK): SPACE.encode()}
         bare = np.flatnonzero(ids < 0)
-        spelling = [spelled.get(c) or chr(c).encode("utf-8", "surrogatepass") for c in chars[bare].tolist()]
+        spelling = [_spelling(c) for c in chars[bare].tolist()]
         width = np.ones(len(ids), np.int64)
         width[bare] = [len(b) for b in spelling]
         out = np.repeat(ids, width)
@@ -172,11 +174,81 @@ class PieceModel:
             out[i : i + len(b)] = self.byte_ids[list(b)]
         return out, np.bincount(rows, weights=width, minlength=len(segments)).astype(np.int64)
 
+    def sample_long(self, segment: str, seed: int) -> np.ndarray:
+        """Ids of one sampled segmentation of a segment of any length.
+
+        The forward sums of a block hang on the last ``longest`` ones before it. These
+        are kept for each block, so that backward sampling, from the last block to the first, works out
+        the shares of one block at a time once more. What is held is one block, those sums and
+        the ids.
+        """
+        raw = segment.encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(raw, "<u4")
+        kept, before = [], np.full(self.longest, -np.inf)
+        for lo in range(0, len(codes), LONG_BLOCK):
+            kept.append(before)
+            sums, _, _ = self._block(codes, lo, before)
+            before = np.concatenate([before, sums])[-self.longest :]
+        step, end, parts = 0, len(codes) - 1, []
+        for lo in reversed(range(0, len(codes), LONG_BLOCK)):
+            _, share, piece = self._block(codes, lo, kept.pop())
+            drawn = []
+            while end >= lo:
+                draw = int(_mix(np.array([(int(seed) + (step + 1) * int(_M)) % 2**64], np.uint64))[0]) >> 11
+                # As many ways as have a running share of no more than the draw come before the drawn one.
+                length = int(np.searchsorted(share[end - lo], draw / (1 << 53) * share[end - lo, -1], "right"))
+                length = min(length, self.longest - 1)
+                found = int(piece[length, end - lo])
+                drawn.append([found] if found >= 0 else self.byte_ids[list(_spelling(int(codes[end])))][::-1].tolist())
+                end, step = end - length - 1, step + 1
+            parts.append(np.array([x for ids in drawn for x in ids], np.int32))
+        return np.concatenate(parts)[::-1]
+
+    def _block(self, codes: np.ndarray, lo: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log sums, running shares [end, length - 1] and pieces [length - 1, end] of the block at ``lo``.
+
+        ``before``: the log sums of the ``longest`` places before it, -inf where there are none.
+        """
+        hi, begin = min(lo + LONG_BLOCK, len(codes)), max(0, lo - self.longest + 1)
+        part = codes[begin:hi].astype(np.uint64)
+        weight, piece = self._edges(part, np.full(len(part), len(part)))
+        weight, piece = weight[:, lo - begin :].T.copy(), piece[:, lo - begin :]
+        sums = np.concatenate([before, np.empty(hi - lo)])
+        for p in range(hi - lo):
+            here = weight[p]
+            # Ways of all lengths from the sums behind them, the nearest first; a way from the very beginning adds nothing.
+            behind = sums[p + self.longest - 1 : (p - 1 if p else None) : -1]
+            if lo + p < self.longest:
+                behind = behind.copy()
+                behind[lo + p] = 0.0
+            here += behind
+            most = here.max()
+            ways = np.exp(here - most)
+            total = ways.sum()
+            sums[p + self.longest] = most + math.log(total)
+            np.cumsum(ways / total, out=weight[p])
+        return sums[self.longest :], weight, piece
+
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether a segmentation gives a whole text, compared a stretch at a time."""
+        raw, at = memoryview(text.encode()), 0
+        for lo in range(0, len(ids), _DECODED):
+            part = b"".join([self.raw[i] for i in ids[lo : lo + _DECODED].tolist()])
+            if raw[at : at + len(part)] != part:
+                return False
+            at += len(part)
+        return at == len(raw)
+
     def decode(self, ids: list[int]) -> str:
         """The text of any segmentation of it."""
         return b"".join([self.raw[i] for i in ids]).decode()
 
 
+def _spelling(code: int) -> bytes:
+    """The bytes that a character without a piece stands for."""
+    return b" " if code == ord(SPACE) else SPACE.encode() if code == ord(_OWN_MARK) else chr(code).encode("utf-8", "surrogatepass")
+
+
 @functools.lru_cache(maxsize=2)
 def piece_model(path: str, sharpness: float = SHARPNESS) -> PieceModel:
     return PieceModel(path, sharpness)
@@ -222,10 +294,18 @@ def sampled_ids(texts: list[str], keys: list[int], path: str, sharpness: float =
         base = _mix(np.array([(key * 2 + 1) % 2**64, seed % 2**64], np.uint64))
         base = _mix(base[:1] + base[1:] * _M)
         lo = 0
+        long = [i for i, part in enumerate(parts) if len(part) > LONG_RUN]
         while lo < len(parts):
-            hi = lo
-            while hi < len(parts) and (hi == lo or size < BLOCK_CHARS):
-                more = parts[hi : hi + 256]
+            if long and lo == long[0]:
+                flush()
+                done[t].append(model.sample_long(parts[lo], int(_mix(base + np.array([lo], np.uint64) * _M)[0])))
+                parts[lo] = ""
+                long.pop(0)
+                lo += 1
+                continue
+            hi, border = lo, long[0] if long else len(parts)
+            while hi < border and (hi == lo or size < BLOCK_CHARS):
+                more = parts[hi : min(hi + 256, border)]
                 size += sum(map(len, more))
                 hi += len(more)
             block += parts[lo:hi]
@@ -252,7 +332,8 @@ def encode_pieces(
     The draw hangs on doc_id, the place in the text and ``seed`` alone, so a rerun or
     another partitioning gives the same ids. ``lossless``: decoding gave the whole
     text again. Null texts are empty (no pieces); null ids draw as -1; repeated rows
-    repeat. Memory per task follows the longest run without a blank.
+    repeat. Beside a batch of texts and its ids a task holds the lattice of one block, however
+    long a run without a blank is.
     """
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -263,7 +344,7 @@ def encode_pieces(
         held = 0
         for doc, text, got in zip(ids, texts, sampled_ids(texts, keys, model_path, sharpness, seed), strict=True):
             crc = zlib.crc32(got.astype("<u4").tobytes())
-            rows.append((doc, len(got), crc, model.decode(got.tolist()) == text, *([got] if keep_ids else [])))
+            rows.append((doc, len(got), crc, model.spells(got, text), *([got] if keep_ids else [])))
             held += len(got) * keep_ids
             if held > 1_000_000:
                 yield made(rows)

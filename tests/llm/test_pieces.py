@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -48,3 +49,25 @@ def test_samples_follow_the_weights_of_all_segmentations():
     drawn = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(counts)[:-1]))
     for way, m in mass.items():
         assert abs(drawn[way] / n - m / sum(mass.values())) < 0.015
+
+
+def test_runs_by_blocks_draw_the_same(monkeypatch):
+    texts = ["a" * 3000 + "bcd", "日本語🎉▁" * 300, "x" + "Überlänge" * 200 + " and " + "ab" * 700, "\ue000" * 900, prose(3, 50) + " " + "q" * 400]
+    whole = [x.tolist() for x in pieces.sampled_ids(texts, range(5), PATH)]
+    for block in (37, 400, 1 << 16):
+        monkeypatch.setattr(pieces, "LONG_RUN", 100)
+        monkeypatch.setattr(pieces, "LONG_BLOCK", block)
+        assert [x.tolist() for x in pieces.sampled_ids(texts, range(5), PATH)] == whole
+
+
+def test_memory_of_a_very_long_run(monkeypatch):
+    """A run beyond the bound: what is held beside the text and its ids is a block."""
+    text = "Straßenbahn" * 24_000
+    assert len(text) > pieces.LONG_RUN
+    model = pieces.piece_model(PATH)
+    tracemalloc.start()
+    (ids,) = pieces.sampled_ids([text], [1], PATH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.spells(ids, text) and not model.spells(ids, text + "x") and not model.spells(ids[:-1], text)
+    assert peak < 60 * len(text) + 500 * pieces.LONG_BLOCK
