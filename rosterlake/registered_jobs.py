@@ -16,10 +16,13 @@ from rosterlake.operators import channels, contacts, crawl, growth, ledger, matc
 from rosterlake.plans import fill
 from rosterlake.plans.importer import ImportPlan, plan_import
 from rosterlake.plans.seeds import merged_seeds
-from rosterlake.registered import _pick, _table, roster
+from rosterlake.registered import _ROSTER, _pick, _table, roster
 from rosterlake.registered_more import _HINT_CASES, _chosen, _list, _stored, _words
 from rosterlake.session import checkpoint_dir, configure
-from rosterlake.sources.snapshot import snapshot_diff, snapshot_rows
+from rosterlake.sources.export import export_rows, write_export
+from rosterlake.sources.reference import read_districts
+from rosterlake.sources.seeds import read_seeds, write_seeds
+from rosterlake.sources.snapshot import export_snapshot, read_snapshot, snapshot_diff, snapshot_rows
 from rosterlake.sources.tables import read_contact_files
 from rosterlake.streaming.store_stream import count_results
 
@@ -289,6 +292,42 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select("normalized_name", "found", F.array_join("changed", " ").alias("changed"))
 
 
+def snapshot_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store as a snapshot in CSV, read again as records."""
+    path = _folder(spark, "snapshot")
+    export_snapshot(_stored(spark, sf_dir), path)
+    return read_snapshot(spark, path).select(
+        "college_name", "district", "state", "stream", "website", "placement_email", F.array_join("backup_emails_found", " ").alias("more"), "confidence_score",
+        "email_verified", F.date_format("last_scraped", "yyyy-MM-dd").alias("day"), "status", "outreach_status",
+    )
+
+
+def seed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged seeds of a state and stream, written to the cache and read again while fresh."""
+    configure(spark)
+    path = _folder(spark, "seeds")
+    write_seeds(merged_seeds(_seeds(spark, sf_dir)), path)
+    return read_seeds(spark, path, "S", vocab.STREAMS[1]).select("college_name", "district", "phone", "source", "pos")
+
+
+def marketing_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outward file, read again: its labels are its columns."""
+    path = _folder(spark, "marketing")
+    write_export(export_rows(roster(spark, sf_dir), state="NATION_7"), path)
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).select("College Name", "State", "Stream", "Email", "Phone")
+
+
+def district_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and their nations as the JSON reference, read again."""
+    rows = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    listed = rows.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    notes = listed.select(F.concat(F.lit("_"), "r_name").alias("r_name"), F.array(F.lit("a note")).alias("names"))
+    both = listed.unionByName(notes).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("r_name", "names")))).alias("m"))
+    path = _folder(spark, "districts")
+    both.select(F.to_json("m").alias("value")).write.text(path)
+    return read_districts(spark, path)
+
+
 def org_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored row of each supplier's namesake among the customers, by the full key."""
     rows = roster(spark, sf_dir)
@@ -446,6 +485,7 @@ QUERIES = {
     for f in (
         contact_files, import_report, streamed_runs, best_first_pages, all_site_pages, page_budget, contact_scores, site_contacts, leading_contacts,
         name_keys, listing_names, names_in_state, seed_merge, seed_sources, channel_yield, staged_match, match_report, snapshot_changes, org_lookup,
+        snapshot_restored, seed_cache, marketing_file, district_reference,
         fill_finds, site_scores, chosen_sites, page_classes, page_names, document_cells, admin_page, recent_runs, checked_results,
         cfemail_recover, payload_contacts, table_seeds,
     )
@@ -788,6 +828,17 @@ ORACLES = {
         select normalized_name, case when n % 10 = 1 then 'store' when n % 10 = 0 then 'snapshot' else 'both' end as found,
           case when n % 10 < 2 then '' else concat_ws(' ', case when gone then 'website' end, case when newer then 'status' end) end as changed
         from k where n % 10 < 2 or newer or gone""",
+    "snapshot_restored": f"""
+        select c_name as college_name, r_name as district, n_name as state, {_chosen("c_custkey", vocab.STREAMS)} as stream, 'https://org' || c_custkey || '.example.org' as website,
+          case c_custkey % 3 when 0 then 'placement' || c_custkey || '@example.org' else '' end as placement_email,
+          case when c_custkey % 6 = 0 then 'a' || c_custkey || '@example.org b@example.org' else '' end as more, 10 as confidence_score, true as email_verified, '2024-01-01' as day,
+          {_chosen("c_custkey", vocab.STATUSES)} as status, '{vocab.OUTREACH[1]}' as outreach_status
+        from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
+    "seed_cache": _SEEDS + f"""
+        select college_name, district, phone, source, pos from (select *, row_number() over (partition by stream order by ord) as pos from sourced) where stream = '{vocab.STREAMS[1]}'""",
+    "marketing_file": _ROSTER + """select college_name as "College Name", state as "State", stream as "Stream", email as "Email", phone as "Phone" from roster
+        where email is not null and phone is not null and state = 'NATION_7'""",
+    "district_reference": "select r_name as state, n_name as district from nation join region on n_regionkey = r_regionkey",
     "org_lookup": f"""
         select c_name as college_name, lower(c_name) as normalized_name, r_name as district, {_chosen("c_custkey", vocab.STREAMS)} as stream,
           'https://org' || c_custkey || '.example.org' as website, {_chosen("c_custkey", vocab.STATUSES)} as status
