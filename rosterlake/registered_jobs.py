@@ -15,6 +15,7 @@ from rosterlake.functions import emails, html, payloads, text, urls
 from rosterlake.operators import channels, contacts, crawl, growth, ledger, matching, places, roster as views, sites
 from rosterlake.plans import fill
 from rosterlake.plans.importer import ImportPlan, plan_import
+from rosterlake.plans.resolve import ResolveInputs, resolve
 from rosterlake.plans.seeds import merged_seeds
 from rosterlake.registered import _ROSTER, _pick, _table, roster
 from rosterlake.registered_more import _HINT_CASES, _chosen, _list, _stored, _words
@@ -436,6 +437,32 @@ def checked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("college_name", "email_verified", "fallback_contact_phone", contacts.run_status().alias("status"))
 
 
+def resolved_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers resolved from the pages of their sites: a home page, and a contact page that it links to."""
+    configure(spark)
+    k = F.col("k")
+    host = F.concat(F.lower("segment"), k, F.lit(".ac.in"))
+    orgs = _customers(spark, sf_dir).select(
+        k, host.alias("host"), F.concat(F.initcap("segment"), F.lit(" College "), k).alias("college_name"), "state", "district", _pick(k, vocab.STREAMS).alias("stream"),
+        F.concat(F.lit("https://"), F.when(k % 7 == 0, "gone."), host).alias("lost"), F.lit("").alias("affiliation"),
+    )
+    orgs = orgs.withColumn("website", F.coalesce("lost", F.concat(F.lit("https://www."), "host")))
+    home = orgs.select(
+        F.concat(F.lit("https://www."), "host").alias("url"),
+        F.concat(F.lit('<p>Welcome</p><a href="/contact/">Contact</a> <a href="/library">Books</a> '), F.when(k % 5 == 0, F.concat(F.lit("info@"), "host")).otherwise("")).alias("html"),
+    )
+    digits = F.lpad((k % 90000).cast("string"), 5, "1")
+    told = F.when(k % 2 == 0, F.concat(F.lit("Training and placement cell, tpo@"), "host", F.lit(", call 98450 "), digits)).otherwise(F.concat(F.lit("Write to office@"), "host"))
+    contact = orgs.where(k % 3 != 0).select(F.concat(F.lit("https://www."), "host", F.lit("/contact")).alias("url"), F.concat(F.lit("<p>"), told, F.lit(" </p>")).alias("html"))
+    none = spark.createDataFrame([], "org_id string, rank int, url string, title string")
+    inputs = ResolveInputs(results=none, pages=home.unionByName(contact))
+    done = resolve(orgs.drop("host", "lost"), inputs)
+    return done.select(
+        "k", "placement_email", "fallback_contact_email", "fallback_contact_phone", F.array_join("backup_emails_found", " ").alias("more"), "confidence_score",
+        F.size("source_urls").alias("n_pages"), "status", "notes",
+    )
+
+
 # --- payloads ----------------------------------------------------------------
 
 def _hex(value: Column) -> Column:
@@ -487,6 +514,7 @@ QUERIES = {
         name_keys, listing_names, names_in_state, seed_merge, seed_sources, channel_yield, staged_match, match_report, snapshot_changes, org_lookup,
         snapshot_restored, seed_cache, marketing_file, district_reference,
         fill_finds, site_scores, chosen_sites, page_classes, page_names, document_cells, admin_page, recent_runs, checked_results,
+        resolved_orgs,
         cfemail_recover, payload_contacts, table_seeds,
     )
 }
@@ -859,6 +887,22 @@ ORACLES = {
           case when owned and mail then 'office@' || word || k || '.ac.in' end as email, case when owned and mail then 'tpo' || k || '@gmail.com' else '' end as more,
           case when owned and call then '+91-98450' || lpad((k % 90000)::varchar, 5, '1') end as phone
         from told""",
+    "resolved_orgs": _CUSTOMERS + """
+        , r as (
+          select k, lower(segment) || k || '.ac.in' as host, k % 7 = 0 as gone, k % 3 <> 0 as reached, k % 2 = 0 as placed, k % 5 = 0 as greeted, lpad((k % 90000)::varchar, 5, '1') as digits from customers
+        ), found as (
+          select *, case when gone then null when reached and placed then 'tpo@' || host end as placement_email,
+            case when gone or reached and placed then null when greeted then 'info@' || host when reached then 'office@' || host end as fallback,
+            case when not gone and reached and placed then '+91-98450' || digits end as phone, case when gone then 0 when reached then 2 else 1 end as pages from r
+        )
+        select k, placement_email, fallback as fallback_contact_email, phone as fallback_contact_phone,
+          coalesce(case when gone then '' when reached and placed then case when greeted then 'info@' || host else '' end
+            else concat_ws(' ', case when greeted then 'info@' || host end, case when reached then 'office@' || host end) end, '') as more,
+          case when placement_email is not null then 80 else 0 end as confidence_score, pages as n_pages,
+          case when placement_email is not null or fallback is not null then 'Needs Follow-up' else 'Failed' end as status,
+          case when gone then 'site discovered but no page could be fetched'
+            else 'crawled ' || pages || ' pages' || case when placement_email is null and fallback is null then '; no contact details found anywhere' else '' end end as notes
+        from found""",
     "cfemail_recover": "select c_custkey, lower(c_mktsegment) || '+' || c_custkey || '@org.ac.in' as email from customer",
     "payload_contacts": """
         with raw as (
