@@ -151,4 +151,63 @@ select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 from placed p join folded using (row_) join subroots s on s.source is not distinct from p.source, (select h as root from top where n = 1)
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op12_curriculum_mix": OP12, "op13_merkle_manifest": OP13}
+OP4 = rf"""
+with recursive rows_ as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents
+), shingles as materialized (
+  select distinct r, md5(array_to_string(w[i:i + 4], ' ')) as s from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from rows_ where len(w) > 0)
+), sizes as (
+  select r, count(*) as n from shingles group by r
+), links as materialized (
+  select a.doc_id as a, b.doc_id as b from (
+    select x.r as p, y.r as q, count(*) as common from shingles x join shingles y on x.s = y.s and x.r < y.r group by all
+  ) join sizes m on m.r = p join sizes n on n.r = q join rows_ a on a.r = p join rows_ b on b.r = q
+  where 100 * common >= 80 * (m.n + n.n - common) and a.doc_id is not null and b.doc_id is not null
+), reach as (
+  select distinct doc_id as node, doc_id as root from rows_ where doc_id is not null
+  union
+  select case when l.a = r.node then l.b else l.a end, r.root from reach r join links l on r.node in (l.a, l.b)
+), components as (select node, min(root) as component_id from reach group by node)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from rows_ left join sizes using (r) left join components on node = doc_id
+"""
+
+OP8 = r"""
+with turns as (
+  select distinct conv_id, turn, role, text from conversations where conv_id is not null
+), chats as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role nulls first, text nulls first) as seq from turns group by conv_id
+), classes as (
+  select seq, min(conv_id) as conv_id, count(*) as n_same from chats group by seq
+), prefixes as (
+  select distinct seq[:n] as seq from (select seq, unnest(range(1, len(seq))) as n from chats)
+), marked as (
+  select conv_id, len(seq)::bigint as n_turns, n_same, list_transform(seq, lambda t:
+    '<|' || replace(replace(coalesce(t.role, 'unknown'), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10)
+    || replace(replace(coalesce(t.text, ''), '<|', '<\|'), '|>', '|\>') || '<|end|>') as lines
+  from classes where seq not in (select seq from prefixes)
+)
+select conv_id, n_turns, n_same, array_to_string(lines, chr(10)) as chat from marked
+"""
+
+OP10 = """
+with recursive vectors as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings
+), usable as (
+  select * from vectors where vec_id is not null and label is not null and len(v) > 0
+    and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), links as materialized (
+  select a.r, a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach as (
+  select distinct vec_id as node, vec_id as root from vectors where vec_id is not null
+  union
+  select l.b, r.root from reach r join links l on r.node = l.a
+), components as (select node, min(root) as component_id from reach group by node)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from vectors left join (select r, count(*) as n from links group by r) using (r) left join components on node = vec_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": OP4, "op5_quality_rules": OP5, "op8_chat_formatting": OP8, "op10_embedding_near_dedup": OP10, "op12_curriculum_mix": OP12,
+    "op13_merkle_manifest": OP13,
+}
