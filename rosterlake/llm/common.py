@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
 import uuid
@@ -61,6 +62,26 @@ def free_prefix(df: DataFrame, base: str) -> str:
     return base
 
 
+#: Bytes of rows that Spark hands to a Python worker at once where rows hold whole texts.
+TEXT_BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, most_bytes: int = TEXT_BATCH_BYTES) -> Iterator[None]:
+    """Bound the batches of Python steps in queries that run inside; a batch has one row at least.
+
+    By default batches are counted in rows alone, ten thousand of them, so that
+    long texts would add up in the JVM's buffers and in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder to cut lineage.
 
@@ -75,7 +96,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        with shuffles_end_with_query(self.spark):
+        with shuffles_end_with_query(self.spark), text_batches(self.spark):
             df.write.mode("error").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
