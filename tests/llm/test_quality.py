@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -18,6 +19,36 @@ def corpus(n=240):
     return rows, labels
 
 
+def plain_score(model, text):
+    """One document's score in plain loops over its passages."""
+    words = text.encode().split()
+    passages = [quality.passage_features([b" ".join([*words[i : i + 64]])])[1] for i in range(0, len(words), 64)]
+    doc, x = quality.passage_features([text.encode()])
+    assert len(passages) == len(x)
+    if not len(x):
+        return 0.0
+    dot = lambda m, v: [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
+    w, hidden, energy = model.w, [], []
+    for row in x:
+        scaled = [(float(v) - m) / s for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+        h = [math.tanh(v + b) for v, b in zip(dot(w["W"], scaled), w["b"], strict=True)]
+        gates = [math.tanh(t) / (1 + math.exp(-u)) for t, u in zip(dot(w["V"], h), dot(w["U"], h), strict=True)]
+        hidden.append(h)
+        energy.append(sum(a * b for a, b in zip(w["w"], gates, strict=True)))
+    share = [math.exp(e - max(energy)) for e in energy]
+    pooled = [sum(a * h[k] for a, h in zip(share, hidden, strict=True)) / sum(share) for k in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(w["c"], pooled, strict=True)) - w["d"][0]))
+
+
+def test_scores_equal_plain_loops(spark):
+    rows, labels = corpus(90)
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    rows = rows + ODD + [(7, prose(9, 3000))]
+    model = quality.train(docs(spark, rows), table)
+    got = sorted((r.doc_id or 0, round(r.score, 6)) for r in quality.quality_scores(docs(spark, rows), table).collect())
+    assert got == sorted((i or 0, round(plain_score(model, t or ""), 6)) for i, t in rows)
+
+
 def test_held_out_documents_are_told_apart(spark):
     rows, labels = corpus()
     table = spark.createDataFrame(labels + [(None, 1), (1, None), (1000, 0)], "doc_id bigint, quality int")
