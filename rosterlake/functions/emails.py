@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from rosterlake import vocab
-from rosterlake.functions.text import split_cell
+from rosterlake.functions.text import bind, split_cell
 
 
 def _no_strings() -> Column:
@@ -54,17 +54,19 @@ def emails_in_text(c: Column) -> Column:
 
 def decode_obfuscated(payload: Column) -> Column:
     """Address behind one hex payload: the first byte is the XOR key."""
-    key = F.conv(F.substring(payload, 1, 2), 16, 10).cast("int")
-    places = F.sequence(F.lit(3), F.length(payload), F.lit(2))
-    letters = F.transform(
-        places,
-        lambda i: F.char(
-            F.conv(F.substring(payload, i, F.lit(2)), 16, 10).cast("int").bitwiseXOR(key).cast("bigint")
-        ),
-    )
+
+    def letters(key: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(3), F.length(payload), F.lit(2)),
+            lambda i: F.char(
+                F.conv(F.substring(payload, i, F.lit(2)), 16, 10).cast("int").bitwiseXOR(key).cast("bigint")
+            ),
+        )
+
+    first = F.conv(F.substring(payload, 1, 2), 16, 10).cast("int")
     sound = (F.length(payload) >= 4) & (F.length(payload) % 2 == 0)
-    text = F.when(sound, F.array_join(letters, ""))
-    return F.when(text.rlike(r"(?s)@(?:.*@)?[^@]*\.[^@]*$"), text)
+    text = F.when(sound, F.array_join(bind(first, letters), ""))
+    return bind(text, lambda t: F.when(t.rlike(r"(?s)@(?:.*@)?[^@]*\.[^@]*$"), t))
 
 
 def emails_obfuscated(html: Column) -> Column:

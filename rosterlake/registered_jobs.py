@@ -19,7 +19,7 @@ from rosterlake.plans.resolve import ResolveInputs, resolve
 from rosterlake.plans.seeds import merged_seeds
 from rosterlake.registered import _ROSTER, _pick, _table, roster
 from rosterlake.registered_more import _HINT_CASES, _chosen, _list, _stored, _words
-from rosterlake.session import checkpoint_dir, configure
+from rosterlake.session import checkpoint_dir, configure, spread
 from rosterlake.sources.export import export_rows, write_export
 from rosterlake.sources.reference import read_districts
 from rosterlake.sources.seeds import read_seeds, write_seeds
@@ -475,9 +475,13 @@ def cfemail_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.concat(F.lower("c_mktsegment"), F.lit("+"), k, F.lit("@org.ac.in"))
     key = (k % 256).cast("int")
     codes = F.transform(F.split(address, ""), lambda c: _hex(F.ascii(c).bitwiseXOR(key).cast("bigint")))
-    coded = F.concat(_hex(key.cast("bigint")), F.array_join(codes, ""))
+    rows = spread(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+    rows = rows.select("c_custkey", F.concat(_hex(key.cast("bigint")), F.array_join(codes, "")).alias("coded"))
+    coded = F.col("coded")
     page = F.concat(F.lit('<a data-cfemail="'), coded, F.lit('">x</a> <a href="/cdn-cgi/l/email-protection#'), coded, F.lit('"> <i data-cfemail="'), F.substring(coded, 1, 7), F.lit('">'))
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.explode(emails.emails_obfuscated(page)).alias("email"))
+    # An inner explode has its array computed once more, by a filter ahead of the exchange.
+    found = rows.select("c_custkey", F.explode_outer(emails.emails_obfuscated(page)).alias("email"))
+    return found.where(F.col("email").isNotNull())
 
 
 def _json(name: str, items: list[Column]) -> Column:
@@ -494,7 +498,8 @@ def payload_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.lpad(k.cast("string"), 7, "3")
     calls = _json("phones", [F.concat(F.lit('"98 7'), digits, F.lit('"')), F.concat(F.lit('{"raw": "x", "normalized": "0987'), digits, F.lit('"}')), F.concat(F.lit('{"number": "96'), digits, F.lit('1"}'))])
     found = F.concat(payloads.payload_emails(mail), payloads.payload_phones(calls))
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(found).alias("place", "contact"))
+    rows = spread(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+    return rows.select("c_custkey", F.posexplode_outer(found).alias("place", "contact")).where(F.col("place").isNotNull())
 
 
 def table_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,7 +509,9 @@ def table_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = F.concat(
         F.lit('{"tables": [{"headers": ["No", "'), _pick(k, ("Name of College", "Institution", "Remarks")), F.lit('", "City"], "rows": ['), rows, F.lit(']}, {"headers": ["Fees"], "rows": [["Some College"]]}]}')
     )
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(payloads.table_rows(tables)).alias("place", "row")).select("c_custkey", "place", "row.name", "row.district")
+    table = spread(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+    found = table.select("c_custkey", F.posexplode_outer(payloads.table_rows(tables)).alias("place", "row")).where(F.col("place").isNotNull())
+    return found.select("c_custkey", "place", "row.name", "row.district")
 
 
 QUERIES = {

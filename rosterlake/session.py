@@ -65,6 +65,15 @@ def shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over as many tasks as a shuffle has.
+
+    For costly expressions on narrow rows: a small file is read by one task, however
+    many rows it has.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it with a fresh plan.
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake import schema
+from rosterlake import registered_jobs, schema
 from rosterlake.operators import channels, crawl
 from rosterlake.operators.places import plausibly_in_state
 from rosterlake.plans import grow as jobs
@@ -132,3 +132,15 @@ def test_best_first_rounds_move_only_what_they_find(spark, monkeypatch):
     assert "Bucketed: true" in lines[frontier + 1] and "Exchange" not in "".join(lines[:frontier])
     assert all("Bucketed: true" in x for x in lines if "FileScan" in x) and scan(lines, frontier)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("kept_")]
+
+
+def test_rows_of_one_file_are_dealt_to_all_tasks(spark, tmp_path):
+    """Costly expressions on customers run in as many tasks as a shuffle has, however few files there are."""
+    rows = spark.createDataFrame([(k, "HOUSE") for k in range(400)], "c_custkey bigint, c_mktsegment string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for query in (registered_jobs.cfemail_recover, registered_jobs.payload_contacts, registered_jobs.table_seeds):
+        found = query(spark, str(tmp_path))
+        assert found.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        below = found._jdf.queryExecution().optimizedPlan().toString().partition("Repartition ")[2]
+        assert below and "c_custkey" in below and not any(x in below for x in ("Generate", "size(", "concat"))
+    assert {(r.c_custkey, r.email) for r in registered_jobs.cfemail_recover(spark, str(tmp_path)).collect()} == {(k, f"house+{k}@org.ac.in") for k in range(400)}
