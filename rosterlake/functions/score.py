@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from rosterlake import vocab
 from rosterlake.functions.emails import email_domain, local_part
 from rosterlake.functions.text import acronym, any_of, bind, normalize_name, present
-from rosterlake.functions.urls import domain_of, is_blocked, url_path
+from rosterlake.functions.urls import domain_of, is_blocked_domain, url_path
 
 _WORDING = "(?iU)" + vocab.PLACEMENT_WORDING
 
@@ -101,25 +101,55 @@ def _shares_long_word(name_key: Column, text: Column) -> Column:
     )
 
 
+def name_facts(name: Column) -> Column:
+    """struct(key, initials): what candidates are compared with; costly, so once per organisation."""
+    return F.struct(normalize_name(name).alias("key"), acronym(name).alias("initials"))
+
+
 def site_candidate(url: Column, name: Column, title: Column) -> Column:
     """struct(domain, score, reasons): is this URL the organisation's own site?"""
-    facts = F.struct(
+    return named_site_candidate(url, name_facts(name), title)
+
+
+def named_site_candidate(url: Column, named: Column, title: Column) -> Column:
+    """``site_candidate`` for an organisation whose ``name_facts`` are at hand."""
+    # Each step is bound: what it finds is used several times by the next one.
+    parts = F.struct(
         domain_of(url).alias("domain"),
-        normalize_name(name).alias("key"),
-        acronym(name).alias("initials"),
+        named.alias("of"),
         F.coalesce(title, F.lit("")).alias("title"),
         url_path(F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url))).alias("path"),
-        F.regexp_replace(F.substring_index(domain_of(url), ".", 1), "[^a-z]", "").alias("host"),
     )
 
-    def judge(f: Column) -> Column:
-        domain, key, initials, host, path = f["domain"], f["key"], f["initials"], f["host"], f["path"]
+    def tests(p: Column) -> Column:
+        domain, title, key = p["domain"], p["title"], p["of"]["key"]
+        return F.struct(
+            domain.alias("domain"),
+            p["path"].alias("path"),
+            p["of"]["initials"].alias("initials"),
+            F.regexp_replace(F.substring_index(domain, ".", 1), "[^a-z]", "").alias("host"),
+            key.alias("key"),
+            _ends_with_any(domain, vocab.EDU_TLDS).alias("educational"),
+            ((title != "") & _shares_long_word(key, bind(title, normalize_name))).alias("by_title"),
+            F.when(domain == "", F.lit("unparseable URL"))
+            .when(is_blocked_domain(domain), F.lit("blocked aggregator domain"))
+            .alias("unusable"),
+        )
+
+    def ties(t: Column) -> Column:
+        key, host, initials = t["key"], t["host"], t["initials"]
         comparable = key.rlike("[a-z]") & (host != "")
-        by_name = comparable & _shares_long_word(key, host)
-        acronym_inside = comparable & ~by_name & (F.length(initials) >= 3) & F.contains(host, initials)
-        by_acronym = acronym_inside & F.startswith(host, initials)
-        educational = _ends_with_any(domain, vocab.EDU_TLDS)
-        by_title = (f["title"] != "") & _shares_long_word(key, normalize_name(f["title"]))
+        return F.struct(
+            t.alias("t"),
+            (comparable & _shares_long_word(key, host)).alias("by_name"),
+            (comparable & (F.length(initials) >= 3) & F.contains(host, initials)).alias("acronym_inside"),
+        )
+
+    def judge(f: Column) -> Column:
+        t, by_name = f["t"], f["by_name"]
+        domain, path, educational, by_title, unusable = t["domain"], t["path"], t["educational"], t["by_title"], t["unusable"]
+        acronym_inside = ~by_name & f["acronym_inside"]
+        by_acronym = acronym_inside & F.startswith(t["host"], t["initials"])
         signals = [
             (domain.rlike(any_of(vocab.AGGREGATOR_DOMAIN_WORDS)), -15, "aggregator-like domain word"),
             (educational, 40, "educational TLD"),
@@ -134,10 +164,6 @@ def site_candidate(url: Column, name: Column, title: Column) -> Column:
         tied = by_name | by_acronym | by_title
         total = _sum_of(signals)
         capped = F.when(tied, total).otherwise(F.least(total, F.lit(vocab.MIN_SITE_SCORE - 1)))
-        unusable = (
-            F.when(domain == "", F.lit("unparseable URL"))
-            .when(is_blocked(url), F.lit("blocked aggregator domain"))
-        )
         note = F.when(~tied, F.array(F.lit("no name match — capped below threshold"))).otherwise(
             F.array().cast("array<string>")
         )
@@ -149,7 +175,7 @@ def site_candidate(url: Column, name: Column, title: Column) -> Column:
             .alias("reasons"),
         )
 
-    return bind(facts, judge)
+    return bind(bind(bind(parts, tests), ties), judge)
 
 
 def owns_page(text: Column, name: Column, website: Column, head_chars: int | None = None) -> Column:

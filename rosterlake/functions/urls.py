@@ -23,8 +23,7 @@ def _assume_scheme(url: Column) -> Column:
 def authority(url: Column) -> Column:
     """Lowered network location, '' where there is none."""
     found = F.lower(F.regexp_extract(_tidy(url), _AUTHORITY, 1))
-    unbalanced = found.contains("[") != found.contains("]")
-    return F.when(unbalanced, F.lit("")).otherwise(found)
+    return bind(found, lambda host: F.when(host.contains("[") != host.contains("]"), F.lit("")).otherwise(host))
 
 
 def drop_www(host: Column) -> Column:
@@ -57,8 +56,7 @@ def host_suffixes(host: Column) -> Column:
 def same_site(url: Column, base_authority: Column) -> Column:
     """Host equals the base host or lies below it; ``www.`` does not count."""
     base = drop_www(base_authority)
-    host = drop_www(authority(url))
-    return (host == base) | host.endswith(F.concat(F.lit("."), base))
+    return bind(drop_www(authority(url)), lambda host: (host == base) | host.endswith(F.concat(F.lit("."), base)))
 
 
 # --- links -------------------------------------------------------------------
@@ -88,35 +86,46 @@ def _drop_dot_segments(path: Column) -> Column:
 
 def resolve_link(href: Column, base: Column) -> Column:
     """Absolute form of ``href`` seen from ``base`` (no fragments in either)."""
-    scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
-    place = F.regexp_extract(base, _AUTHORITY, 1)
-    base_path = F.regexp_extract(base, _PATH, 1)
+    return bind(_base_parts(base), lambda b: _resolve(href, b))
 
-    def resolve(link: Column) -> Column:
-        tail = F.regexp_extract(link, r"^[^?]*(\?.+)$", 1)
-        path = F.regexp_extract(link, r"^([^?]*)", 1)
+
+def _base_parts(base: Column) -> Column:
+    return F.struct(
+        F.lower(F.regexp_extract(base, _SCHEME, 1)).alias("scheme"),
+        F.regexp_extract(base, _AUTHORITY, 1).alias("place"),
+        F.regexp_extract(base, _PATH, 1).alias("path"),
+    )
+
+
+def _resolve(href: Column, base: Column) -> Column:
+    """``resolve_link`` with the parts of the base; whatever a step uses twice is bound."""
+    scheme, place, base_path = base["scheme"], base["place"], base["path"]
+
+    def rooted(path: Column) -> Column:
         folder = F.regexp_replace(base_path, r"[^/]+$", "")
         beside = F.regexp_replace(F.concat(F.lit("/"), folder, F.lit("/"), path), r"/{2,}(?!$)", "/")
         beside = F.regexp_replace(beside, r"/{2,}$", "/")
-        merged = (
-            F.when(path == "", base_path)
-            .when(path.startswith("/"), path)
-            .otherwise(beside)
-        )
-        plain = F.when(
-            merged.rlike(r"(?:^|/)\.\.?(?:/|$)"), bind(merged, _drop_dot_segments)
-        ).otherwise(merged)
-        rooted = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit("/"), plain))
-        local = F.concat(scheme, F.lit("://"), place, F.when(path == "", base_path).otherwise(rooted), tail)
+        merged = F.when(path.startswith("/"), path).otherwise(beside)
+        dotted = r"(?:^|/)\.\.?(?:/|$)"
+        plain = bind(merged, lambda m: F.when(m.rlike(dotted), _drop_dot_segments(m)).otherwise(m))
+        return bind(plain, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+
+    def resolve(link: Column) -> Column:
+        tail = F.regexp_extract(link, r"^[^?]*(\?.+)$", 1)
+        path = F.regexp_extract(link, r"^([^?]*)", 1)
+        full = bind(path, lambda p: F.when(p == "", base_path).otherwise(rooted(p)))
+        local = F.concat(scheme, F.lit("://"), place, full, tail)
         own_scheme = F.regexp_extract(link, _SCHEME, 1)
-        return (
-            F.when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(own_scheme == "", local)
-            .when(
-                F.lower(own_scheme) == scheme,
-                F.concat(scheme, F.regexp_replace(F.regexp_replace(link, _SCHEME, ":"), r"\?$", "")),
+        return F.when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).otherwise(
+            bind(
+                own_scheme,
+                lambda own: F.when(own == "", local)
+                .when(
+                    F.lower(own) == scheme,
+                    F.concat(scheme, F.regexp_replace(F.regexp_replace(link, _SCHEME, ":"), r"\?$", "")),
+                )
+                .otherwise(link),
             )
-            .otherwise(link)
         )
 
     # The scheme of the base without // behind it adds nothing: what follows is relative.
@@ -127,10 +136,14 @@ def resolve_link(href: Column, base: Column) -> Column:
 
 def resolve_on_site(hrefs: Column, base: Column) -> Column:
     """Distinct same-site absolute links among ``hrefs``, in order."""
-    home = authority(base)
-    absolute = F.transform(hrefs, lambda h: resolve_link(h, base))
-    wanted = F.filter(absolute, lambda u: u.rlike("^https?://") & same_site(u, home))
-    return F.array_distinct(wanted)
+
+    def resolved(b: Column) -> Column:
+        absolute = F.transform(hrefs, lambda h: _resolve(h, b["parts"]))
+        wanted = F.filter(absolute, lambda u: u.rlike("^https?://") & same_site(u, b["home"]))
+        return F.array_distinct(wanted)
+
+    # The parts of the base are taken once, not once per link.
+    return bind(F.struct(_base_parts(base).alias("parts"), authority(base).alias("home")), resolved)
 
 
 def page_links(html: Column, base: Column) -> Column:
@@ -155,7 +168,11 @@ def link_priority(url: Column) -> Column:
 
 def is_blocked(url: Column) -> Column:
     """Host is, or lies below, a domain that is never an own site."""
-    return domain_of(url).rlike(r"(?:^|\.)(?:" + any_of(vocab.BLOCKED_DOMAINS) + ")$")
+    return is_blocked_domain(domain_of(url))
+
+
+def is_blocked_domain(domain: Column) -> Column:
+    return domain.rlike(r"(?:^|\.)(?:" + any_of(vocab.BLOCKED_DOMAINS) + ")$")
 
 
 def is_authoritative(url: Column) -> Column:

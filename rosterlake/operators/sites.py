@@ -9,7 +9,7 @@ from rosterlake.functions.emails import emails_in_text, emails_obfuscated
 from rosterlake.functions.html import page_text
 from rosterlake.functions.payloads import payload_emails, payload_phones
 from rosterlake.functions.phones import phones_in_text
-from rosterlake.functions.score import has_placement_wording, site_candidate
+from rosterlake.functions.score import has_placement_wording, name_facts, named_site_candidate
 from rosterlake.functions.text import any_of, present
 from rosterlake.functions.urls import domain_of, host_suffixes, page_hrefs, trim_slash
 
@@ -20,9 +20,9 @@ def score_candidates(orgs: DataFrame, results: DataFrame) -> DataFrame:
     ``orgs`` has org_id and college_name; ``results`` has org_id, rank, url, title.
     """
     hits = results.withColumn("url", F.trim("url")).where(present(F.col("url")))
-    scored = hits.join(orgs.select("org_id", "college_name"), "org_id").withColumn(
-        "c", site_candidate(F.col("url"), F.col("college_name"), F.col("title"))
-    )
+    # A name is normalised once, not once per result, and by as many tasks as there are rows for.
+    named = orgs.select("org_id", "college_name").repartition("org_id").select("org_id", name_facts(F.col("college_name")).alias("of"))
+    scored = hits.join(named, "org_id").withColumn("c", named_site_candidate(F.col("url"), F.col("of"), F.col("title")))
     return scored.select("org_id", "rank", "url", "c.domain", "c.score", "c.reasons")
 
 

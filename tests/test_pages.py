@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlake import vocab
 from rosterlake.functions import html, score, urls
+from rosterlake.operators import sites
 
 BASE = "https://bmsce.ac.in/"
 
@@ -165,3 +166,17 @@ def test_ownership(spark):
                                   "i int, t string, n string, u string, want boolean")
     for r in frame.withColumn("got", score.owns_page(F.col("t"), F.col("n"), F.col("u"))).collect():
         assert r.got == r.want, (r.t[:60], r.n)
+
+
+def test_names_are_normalised_before_they_meet_results(spark):
+    """An organisation's name is worked on once, not once per search result."""
+    orgs = spark.createDataFrame([("a", "Lakeview Institute of Technology"), ("b", "TSN College of Engineering"), (None, "X College")], "org_id string, college_name string")
+    urls_ = ["https://lakeview.edu.in/", "https://tsnce.ac.in/about", "https://www.shiksha.com/x", "not a url", " https://lit.com ", "", None]
+    results = spark.createDataFrame([(o, i, u, t) for o in ("a", "b", None) for i, u in enumerate(urls_) for t in ("Lakeview home", "", None)], "org_id string, rank int, url string, title string")
+    scored = sites.score_candidates(orgs, results)
+    above, _, below = scored._jdf.queryExecution().optimizedPlan().toString().partition("Join ")
+    assert "college_name" not in above and "regexp_extract_all" not in above and "college_name" in below
+    alone = results.withColumn("url", F.trim("url")).where("url <> ''").join(orgs, "org_id").select("org_id", "rank", "url", score.site_candidate(F.col("url"), F.col("college_name"), F.col("title")).alias("c"))
+    plain = lambda rows: sorted((r.org_id, r.rank, r.url, r.domain, r.score, tuple(r.reasons)) for r in rows.collect())
+    got = plain(scored)
+    assert len(got) == 2 * 5 * 3 and got == plain(alone.select("org_id", "rank", "url", "c.*"))
