@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlake import vocab
 from rosterlake.functions.urls import link_priority, resolve_on_site, trim_slash
 from rosterlake.operators.ranges import first_rows, rank_rows
-from rosterlake.session import Bucketed, cut_lineage
+from rosterlake.session import Bucketed, cut_lineage, spread
 
 
 def guessed_urls(sites: DataFrame, paths=vocab.GUESS_PATHS, limit: int | None = None) -> DataFrame:
@@ -141,35 +141,45 @@ def level_pages(start: DataFrame, index: DataFrame, *, max_depth: int | None = N
     ``start`` has site, page_no, url_key and url. All sites advance together by a
     whole level a round, as many rounds as the deepest site has levels. Pages stand
     by level, then link priority, then order of discovery; no number of pages is set.
-    The index is kept bucketed by URL, so that only the links of a level move.
+    The index is kept bucketed by URL and met once a round: what tells that a page
+    exists also brings its links. A page is sorted within its level once; ``turn``
+    only has to rise with the order, numbers without gaps are given at the end.
     """
+    order = ["site", "rank", "parent", "i", "url_key"]
     with Bucketed(start.sparkSession) as kept:
-        index = kept.keep(index.select("url_key", "hrefs"), "index", "url_key")
-        level = cut_lineage(
-            start.groupBy("site", "url_key").agg(F.min(F.struct("page_no", "url")).alias("p")).select(
-                "site", "url_key", "p.url", F.lit(0).alias("depth"), F.col("p.page_no").cast("bigint").alias("turn")
-            ).join(index.select("url_key"), "url_key", "left_semi")
-            .select("site", "url_key", "url", "depth", "turn")
+        # Copies of a page may differ in their links; each distinct list counts.
+        pages = index.where(F.col("url_key").isNotNull()).repartition(kept.buckets, "url_key")
+        index = kept.keep(pages.groupBy("url_key").agg(F.collect_set("hrefs").alias("lists")), "index", "url_key", dealt=True)
+        first = start.groupBy("site", "url_key").agg(F.min(F.struct("page_no", "url")).alias("p")).join(index, "url_key").select(
+            "site", "url_key", "p.url", F.lit(0).alias("depth"), F.col("p.page_no").cast("bigint").alias("turn"), "lists"
         )
-        known, depth = level, 0
+        level = kept.keep(first, "level 0")
+        known, depth, promising = level.drop("lists"), 0, _promising(F.col("hrefs"), F.col("site"))
         while (max_depth is None or depth < max_depth) and not level.isEmpty():
             depth += 1
-            links = level.join(index, "url_key").select(
-                "site", "turn", F.posexplode(resolve_on_site(F.col("hrefs"), F.col("site"))).alias("i", "link")
-            ).withColumn("priority", link_priority(F.col("link"))).where(F.col("priority") > 0)
-            place = F.struct((-F.col("priority")).alias("rank"), "turn", "i", F.col("link").alias("url"))
-            found = links.withColumn("url_key", trim_slash(F.col("link"))).groupBy("site", "url_key").agg(F.min(place).alias("p"))
-            new = found.join(index.select("url_key"), "url_key", "left_semi").join(known, ["site", "url_key"], "left_anti").select(
-                "site", "url_key", "p.url", "p.rank", F.col("p.turn").alias("parent"), "p.i"
-            )
-            ranked = rank_rows(new, "turn", ["rank", "parent", "i", "url_key"], ["site"])
-            level = cut_lineage(ranked.select("site", "url_key", "url", F.lit(depth).alias("depth"), "turn"))
-            known = known.unionByName(level)
+            lists = spread(level.select("site", "turn", "lists")).select("site", "turn", F.explode("lists").alias("hrefs"))
+            links = lists.select("site", "turn", F.explode_outer(promising).alias("l")).where(F.col("l").isNotNull())
+            place = F.struct("l.rank", F.col("turn").alias("parent"), "l.i", "l.url")
+            found = links.groupBy("site", trim_slash(F.col("l.url")).alias("url_key")).agg(F.min(place).alias("p"))
+            new = found.join(known, ["site", "url_key"], "left_anti").join(index, "url_key").select("site", "url_key", "p.*", "lists")
+            # Written before it is sorted, as borders of ranges are drawn from a pass of their own.
+            ranked = kept.keep(new, "new").repartitionByRange(*order).sortWithinPartitions(*order)
+            ranked = ranked.select("site", "url_key", "url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("turn"), "lists")
+            level = kept.keep(ranked, f"level {depth}")
+            known = known.unionByName(level.drop("lists"))
         return rank_rows(known, "page_no", ["depth", "turn"], ["site"]).select(
             "site", F.col("page_no").cast("int").alias("page_no"), "url_key", "url"
         )
 
 
+def _promising(hrefs: Column, site: Column) -> Column:
+    """struct(rank, i, url) of the links of a page that are worth following."""
+    rated = F.transform(
+        resolve_on_site(hrefs, site), lambda u, i: F.struct((-link_priority(u)).alias("rank"), i.alias("i"), u.alias("url"))
+    )
+    return F.filter(rated, lambda l: l["rank"] < 0)
+
+
 def choose_pages(
     sites: DataFrame, index: DataFrame, site_urls: DataFrame | None = None, *, budget: int | None = None,
     attempts: int | None = None, max_pages: int | None = None, max_depth: int | None = None,

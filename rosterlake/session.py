@@ -108,13 +108,15 @@ class Bucketed:
         """Write ``df`` as a table and return that; a table of this name is dropped afterwards.
 
         ``dealt``: the rows are dealt by these keys already, so they need no exchange.
+        Without keys the table has no buckets and the rows stay as they are dealt.
         """
         table = f"kept_{uuid.uuid4().hex}"
         path = f"{checkpoint_dir(self.spark).rstrip('/')}/rosterlake-{table}"
         with shuffles_end_with_query(self.spark):
             # Dealt like the buckets, so that each is written by one task.
-            rows = df if dealt else df.repartition(self.buckets, *keys)
-            rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+            rows = df if dealt or not keys else df.repartition(self.buckets, *keys)
+            writer = rows.write.bucketBy(self.buckets, *keys).sortBy(*keys) if keys else rows.write
+            writer.option("path", path).saveAsTable(table)
         self.drop(name)
         self.tables[name] = table, path
         return self.spark.table(table)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake import registered_jobs, schema
+from rosterlake.functions import urls
 from rosterlake.operators import channels, crawl
 from rosterlake.operators.places import plausibly_in_state
 from rosterlake.plans import grow as jobs
@@ -144,3 +145,48 @@ def test_rows_of_one_file_are_dealt_to_all_tasks(spark, tmp_path):
         below = found._jdf.queryExecution().optimizedPlan().toString().partition("Repartition ")[2]
         assert below and "c_custkey" in below and not any(x in below for x in ("Generate", "size(", "concat"))
     assert {(r.c_custkey, r.email) for r in registered_jobs.cfemail_recover(spark, str(tmp_path)).collect()} == {(k, f"house+{k}@org.ac.in") for k in range(400)}
+
+
+def test_levels_meet_the_index_once_and_number_pages_like_a_plain_walk(spark, monkeypatch):
+    """Copies of pages with other links, pages without links or address, sites that share pages."""
+    plans, keep = [], Bucketed.keep
+
+    def spy(self, df, name, *keys, **options):
+        if name == "new":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, name, *keys, **options)
+
+    monkeypatch.setattr(Bucketed, "keep", spy)
+    hosts, words = ("https://www.a.org", "http://a.org", "https://b.org"), ("contact", "about", "placement", "library", "tpo")
+    path = lambda n: f"/{words[n % 5]}/{n}"
+    rows = [(hosts[0], ["/contact/0", "/contact/5/", "https://a.org/tpo/4"]), (hosts[2], ["about/1", "/contact/5", "/contact/5/"]), (None, ["/contact/0"]), (hosts[0] + path(0), None)]
+    for n in range(60):
+        for host in (hosts[0], "https://a.org", hosts[2]) if n % 7 else hosts:
+            rows += [(host + path(n), [path(j) + "/" * (j % 3) for j in (2 * n + 1, n + 3, 2 * n + 2, n // 2)])] * (1 + n % 2) + [(host + path(n), [path(n + 5), host + path(n + 9)])] * (n % 4 == 0)
+    index = spark.createDataFrame(rows, "url_key string, hrefs array<string>")
+    sites = spark.createDataFrame([(h,) for h in (*hosts, "https://gone.org", None)], "site string")
+    got = sorted((r.site, r.page_no, r.url_key, r.url) for r in crawl.choose_pages(sites, index).collect())
+
+    links = {
+        (r.site, r.url_key, tuple(r.hrefs)): list(zip(r.found, r.priority))
+        for r in sites.join(index, F.lit(True)).where("site is not null and url_key is not null and hrefs is not null")
+        .withColumn("found", urls.resolve_on_site(F.col("hrefs"), F.col("site"))).withColumn("priority", F.transform("found", urls.link_priority)).collect()
+    }
+    there, want = {u for u, _ in rows}, []
+    for site in hosts:
+        level = [(site, site)] if site in there else []
+        walked = list(level)
+        while level:
+            found = {}
+            for turn, (page, _) in enumerate(level):
+                for key, out in links.items():
+                    for i, (u, p) in enumerate(out if key[:2] == (site, page) else ()):
+                        to = u.rstrip("/")
+                        if p > 0 and to in there and to not in {k for k, _ in walked}:
+                            found[to] = min(found.get(to, (0,)), (-p, turn, i, u))
+            level = [(k, v[3]) for k, v in sorted(found.items(), key=lambda x: (*x[1][:3], x[0]))]
+            walked += level
+        want += [(site, n, k, u) for n, (k, u) in enumerate(walked, 1)]
+    assert got == sorted(want) and len(want) > 60
+    assert len(plans) > 3 and all(p.count("ReadSchema: struct<url_key:string,lists:") == 1 for p in plans)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("kept_")]
