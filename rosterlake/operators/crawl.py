@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rosterlake import vocab
 from rosterlake.functions.urls import link_priority, resolve_on_site, trim_slash
 from rosterlake.operators.ranges import first_rows, rank_rows
-from rosterlake.session import Bucketed, cut_lineage, spread
+from rosterlake.session import Bucketed, cut_lineage
 
 
 def guessed_urls(sites: DataFrame, paths=vocab.GUESS_PATHS, limit: int | None = None) -> DataFrame:
@@ -157,7 +157,7 @@ def level_pages(start: DataFrame, index: DataFrame, *, max_depth: int | None = N
         known, depth, promising = level.drop("lists"), 0, _promising(F.col("hrefs"), F.col("site"))
         while (max_depth is None or depth < max_depth) and not level.isEmpty():
             depth += 1
-            lists = spread(level.select("site", "turn", "lists")).select("site", "turn", F.explode("lists").alias("hrefs"))
+            lists = level.select("site", "turn", F.explode("lists").alias("hrefs"))
             links = lists.select("site", "turn", F.explode_outer(promising).alias("l")).where(F.col("l").isNotNull())
             place = F.struct("l.rank", F.col("turn").alias("parent"), "l.i", "l.url")
             found = links.groupBy("site", trim_slash(F.col("l.url")).alias("url_key")).agg(F.min(place).alias("p"))
